@@ -15,7 +15,9 @@ named in `keep`. Texts of any length are cut, never dropped.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,41 +30,93 @@ from pyspark.sql.window import Window
 from convolake.llm.common import materialize
 
 #: Chunks of text of which a worker remembers the ids.
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 500_000
+
+
+#: Symbols that the tokenizer always splits from a letter before them.
+_SYMBOLS = ".,;:!?|#$%&*"
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
+class _Known(dict):
+    """chunk -> ids; what is only known for now is in `extra`."""
+
+    extra: dict[str, bytes]
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.extra[chunk]
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian uint32 bytes; equal to the tokenizer's own on the whole text.
 
     The tokenizer splits at white space before anything can cross it, so a text's ids are those of
-    its chunks between spaces, and the ids of a frequent chunk are remembered.
+    its chunks between spaces, and those of a chunk that ends in symbols are its letters' and its
+    symbols'. ASCII letters are lower-cased first, as the tokenizer does after it has looked for
+    special tokens, so a text that may hold one is left alone. Ids of frequent chunks are remembered.
     """
 
     def __init__(self, path: str, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known = _Known({"": b""})
         self.cached = cached
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a lower-case Latin word, straight from the model; None for anything else."""
+        if word.isascii():
+            if not word.isalpha() or word != word.lower():
+                return None
+        elif word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            word = "".join([self.letters[b] for b in word.encode()])
+        else:
+            return None
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in known}
-        own = known
-        if new:
-            new = list(new)
-            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            pairs = {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(new, got, strict=True)}
-            room = self.cached - len(known)
-            if room >= len(pairs):
-                known.update(pairs)
+        known, extra, rest = self.known, {}, []
+        known.extra = extra
+        split = []
+        for t in texts:
+            if "<|" not in t:
+                t = t.lower() if t.isascii() else t.encode().lower().decode()
+            split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        ends: list[tuple[str, str]] = []
+        for chunk in {c for chunks in split for c in chunks if c not in known}:
+            core = chunk.rstrip(_SYMBOLS)
+            if len(core) < len(chunk) and core[-1:].isalpha():
+                ends.append((chunk, core))
+                if core in known:
+                    continue
+                chunk = core
+            if chunk in extra:
+                continue
+            ids = self._word(chunk)
+            if ids is None:
+                rest.append(chunk)
             else:
-                own = known | pairs
-                for c in new[: max(room, 0)]:
-                    if len(c) < 64:
-                        known[c] = pairs[c]
-        look = own.__getitem__
+                extra[chunk] = ids
+        symbols = {c[len(core) :] for c, core in ends}
+        rest.extend(s for s in symbols if s not in known)
+        for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            extra[chunk] = array("I", got.ids).tobytes()
+        room = self.cached - len(known)
+        if room > 0:
+            known.update((c, ids) for c, ids in list(extra.items())[:room] if len(c) < 64)
+        for chunk, core in ends:
+            extra[chunk] = known[core] + known[chunk[len(core) :]]
+            if core in known and len(known) < self.cached and len(chunk) < 24:
+                known[chunk] = extra[chunk]
+        look = known.__getitem__
         return [b"".join(map(look, chunks)) for chunks in split]
 
 
