@@ -163,7 +163,7 @@ def _rows(docs: DataFrame, make, schema: T.StructType) -> DataFrame:
 def _only(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
     """docs whose id is (left_semi) or is not (left_anti) among the n ids."""
     ids = ids.select("doc_id")
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_merge"), "doc_id", how)
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_merge"), "doc_id", how).select(docs.columns)
 
 
 def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -238,3 +238,19 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, percent: int = 90) ->
     comp = connected_components(links.select("a", "b"), "linked")
     out = members.join(comp, members["rep"] == comp["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs' rows and columns, of each component the row with the smallest id; rows without an id or a shingle stay.
+
+    Rows repeated under one id are one document, of which one row stays.
+    """
+    found = jaccard_components(docs, words=words, percent=percent)
+    found = materialize(found.where("n_shingles > 0 and doc_id is not null"), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = _only(docs, gone, gone.count(), "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    n = again.count()
+    if not n:
+        return kept
+    return _only(kept, again, n, "left_anti").unionByName(_only(kept, again, n, "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

@@ -153,3 +153,24 @@ def identify_languages(docs: DataFrame, *, most_per_language: int = 1500, **fitt
     """doc_id, held_out, lang_pred, score, lang_set; learns from docs' own lang column."""
     model = fit(training_sample(docs, most_per_language), **fitting)
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_set")
+
+
+def keep_identified(docs: DataFrame, *, least_share: float = 0.5, most_per_language: int = 1500, **fitting) -> DataFrame:
+    """docs' rows and columns, without those that are `und` or have no language of least_share of their words.
+
+    Rows are judged in place, so nothing is shuffled.
+    """
+    model = fit(training_sample(docs, most_per_language), **fitting)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages x 8 bytes
+    names = docs.columns
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for lo, hi, t in texts(batch.column(len(names)), 1 << 20):
+                pi = own.proportions(t)
+                keep = pi.max(1, initial=0.0) >= least_share
+                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).filter(pa.array(keep)) for c in batch.columns[: len(names)]], names=names)
+
+    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    return docs.select("*", F.when(letters, F.col("text")).otherwise("").alias("_judged")).mapInArrow(judged, docs.schema)

@@ -99,3 +99,24 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs: int
     d = _planned(docs, docs.columns, weights, most_epochs, seed, buckets).where("_p_epochs > 0")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_p_epochs").cast("int"))))
     return d.select(*[F.col(f"`_c_{c}`").alias(c) for c in docs.columns])
+
+
+#: op7's rows. Sizes, keys, the water level and the two-level prefix sums of the operator in plain SQL.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+      / (1::DOUBLE + CASE WHEN length(text) > 0 THEN power(length(regexp_replace(text, '[#*$%&|<>0-9]', '', 'g'))::DOUBLE / length(text), 2) ELSE 0 END) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBLE ELSE 1::DOUBLE END AS w FROM d GROUP BY source),
+c AS (SELECT *, source_size * 3::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS all_w FROM s),
+l AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS capped, all_w - coalesce(sum(w) OVER o, 0) AS free FROM c
+  WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, capped + cap / w * free <= total AS is_full FROM l),
+t AS (SELECT source, source_size, coalesce(CASE WHEN is_full THEN cap ELSE w * (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (), 0) END, 0) AS target FROM f),
+p AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, least(whole + CASE WHEN before + size / 2::DOUBLE <= target - whole * source_size AND size > 0 THEN 1 ELSE 0 END, 3)::BIGINT AS epochs FROM p)
+SELECT doc_id, size, source_size, target, size * epochs AS taken, source, epochs FROM e
+"""

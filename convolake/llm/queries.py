@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import embed_dedup, jaccard, langid, lm_scoring, mixing, packing, quality_model, token_counts
+from convolake.llm import embed_dedup, jaccard, langid, lm_scoring, mixing, packing, pii, quality_model, quality_rules, token_counts
 
 PACK_TOKENIZER, UNIGRAM_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -26,6 +26,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(PACK_TOKENIZER))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -55,9 +63,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op4_ngram_jaccard_join, op5_token_counts, op6_embedding_near_dedup, op7_source_mixing, op8_quality_classifier, op9_language_id, op10_lm_scoring)
+    own = (op1_packing, op2_pii, op3_quality_rules, op4_ngram_jaccard_join, op5_token_counts, op6_embedding_near_dedup, op7_source_mixing, op8_quality_classifier, op9_language_id, op10_lm_scoring)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
