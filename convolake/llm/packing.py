@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,12 @@ class ChunkEncoder:
         return [b"".join(map(look, chunks)) for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str, cached: int = CACHED_CHUNKS) -> ChunkEncoder:
+    """One encoder for all tasks of a worker process, so that what one task has learned serves the next."""
+    return ChunkEncoder(path, cached)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of at most seq_len ids: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
@@ -131,7 +138,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = ChunkEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,12 +85,18 @@ class UnigramCounter(dict):
         return sum(f[0] for f in found), sum(f[1] for f in found)
 
 
+@lru_cache(maxsize=1)
+def counter_for(model: str, cached: int = CACHED_CHUNKS) -> UnigramCounter:
+    """One counter for all tasks of a worker process, so that what one task has learned serves the next."""
+    return UnigramCounter(piece_vocabulary(model), cached)
+
+
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_chars_counted, n_tokens and score of every whole text; nothing is shuffled."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_chars", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(piece_vocabulary(model))
+        counter = counter_for(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
