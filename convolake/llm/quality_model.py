@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings with softmax output, trained with numpy.
 
 A document is the average of learned vectors of its words and of the byte n-grams inside them, all
-hashed to `buckets` rows; a softmax over two classes follows. The embedding and the output layer are
+hashed to `buckets` rows, and of one more feature, the word pair of equal words; a softmax over two classes follows. The embedding and the output layer are
 trained together by stochastic gradient descent on a bounded, documented sample of labelled
 documents (`most_labels`), drawn by a hash of their ids. Because the output is linear in the average,
 scoring needs one number per hashed feature, and a batch looks each distinct word up once.
@@ -37,7 +37,7 @@ class SubwordModel:
 
     def features(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words' features (bucket, word), each word occurrence's distinct word and its text."""
-        return word_features(t, len(self.weight), self.lo, self.hi)
+        return word_features(t, len(self.weight) - 1, self.lo, self.hi)
 
     def score(self, t: Texts) -> np.ndarray:
         bucket, word, which, where, n = self.features(t)
@@ -45,9 +45,20 @@ class SubwordModel:
         many = np.bincount(word, minlength=n).astype(float)
         top = np.bincount(where, total[which], len(t))
         size = np.bincount(where, many[which], len(t))
+        same = SAME_WEIGHT * same_pairs(which, where, len(t))
+        top, size = top + same * self.weight[-1], size + same
         return 1 / (1 + np.exp(-(self.bias + top / np.maximum(size, 1))))
 
 
+#: A pair of equal words counts as so many features, about as many as a word has n-grams.
+SAME_WEIGHT = 8
+
+
+def same_pairs(which: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """Words of each text that equal the word before them."""
+    return np.bincount(where[1:][(which[1:] == which[:-1]) & (where[1:] == where[:-1])], minlength=n)
+
+
 def word_features(t: Texts, buckets: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     starts, ends, where = t.words()
     if not len(starts):
@@ -65,7 +76,7 @@ def word_features(t: Texts, buckets: int, lo: int, hi: int) -> tuple[np.ndarray,
 def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8, lo: int = 3, hi: int = 4, epochs: int = 12, batch: int = 32, rate: float = 60.0, l2: float = 1e-6, seed: int = 5) -> SubwordModel:
     """Trains on (text, label) pairs; labels 0 and 1."""
     if not sample:
-        return SubwordModel(np.zeros(buckets), 0.0, lo, hi)
+        return SubwordModel(np.zeros(buckets + 1), 0.0, lo, hi)
     rng = np.random.default_rng(seed)
     y = np.array([label for _, label in sample], np.int64)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
@@ -75,12 +86,14 @@ def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8,
         bucket, many = bucket[order], np.bincount(word, minlength=n)
         begin = np.cumsum(many) - many
         cut = np.searchsorted(where, np.arange(len(t) + 1))
+        same = SAME_WEIGHT * same_pairs(which, where, len(t))
         for i in range(len(t)):
             words, times = np.unique(which[cut[i] : cut[i + 1]], return_counts=True)
             size = many[words]
             at = np.repeat(begin[words], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            rows.append((bucket[at].astype(np.int32), (np.repeat(times, size) / max(1, (times * size).sum())).astype(np.float32)))
-    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+            weight = np.append(np.repeat(times, size), same[i])
+            rows.append((np.append(bucket[at], buckets).astype(np.int32), (weight / max(1, weight.sum())).astype(np.float32)))
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets + 1, dim)).astype(np.float32)
     out = np.zeros((dim, 2), np.float32)
     prior = np.clip(np.array([(y == 0).mean(), (y == 1).mean()]), 1e-3, 1)
     bias = np.log(prior).astype(np.float32)
