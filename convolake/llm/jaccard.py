@@ -6,8 +6,11 @@ threshold t their sizes differ by 1/t at most and their sets by d = (n1 + n2)(1
 The shingles are dealt into m > d column blocks by their hashes, so two linked documents agree on
 whole blocks - m - d of them at least. A document's part of a block (of two blocks, where d is
 small) is hashed to a key; documents that share no key can't link. Block keys span several shingles, so frequent
-words, lines and passages alone make no candidates, whatever their counts. The overlap counts of the
-remaining pairs are then accumulated over all shingles, and pairs under the bound are discarded.
+words, lines and passages alone make no candidates, whatever their counts. A parity sketch of each set
+(bit h is the parity of its shingles that hash to h) differs in no more bits than the sets differ in
+shingles, so pairs whose sketches differ in more than d bits are discarded before any set moves. The
+overlap counts of the remaining pairs are then accumulated over all shingles, and pairs under the
+bound are discarded.
 
 Documents with equal sets are one node. Within a key's group, all are first compared with the
 smallest node; only groups that still hold several components are compared pair by pair, across
@@ -40,6 +43,7 @@ _K = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F1
 PAIRED = 8
 #: Ids of documents to read again are broadcast up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
+SKETCH_LONGS = 8
 
 
 @lru_cache
@@ -101,6 +105,20 @@ def _short(h: np.ndarray) -> np.uint64:
     return code[0]
 
 
+def parity_sketch(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """sets x SKETCH_LONGS: the sketches' bits. Two differ in at most as many bits as the sets have different shingles."""
+    bits = 64 * SKETCH_LONGS
+    place = (mix(s ^ _K[1]) >> np.uint64(40)).astype(np.int64) % bits
+    out = np.empty((len(offsets) - 1, SKETCH_LONGS), np.int64)
+    for lo in range(0, len(out), 2048):
+        hi = min(lo + 2048, len(out))
+        own = slice(offsets[lo], offsets[hi])
+        row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+        odd = (np.bincount(row * bits + place[own], minlength=(hi - lo) * bits) & 1).astype(np.uint8)
+        out[lo:hi] = np.packbits(odd.reshape(hi - lo, bits), axis=1).view(np.int64)
+    return out
+
+
 def _times(i: int, k: int) -> np.uint64:
     """i times a constant, modulo 2^64."""
     return np.uint64(int(i) * int(_K[k]) & (1 << 64) - 1)
@@ -176,13 +194,15 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
 
     def signed(ids: pa.Array, t: Texts) -> list[pa.Array]:
         s, offsets = shingle_sets(t, words)
-        return [ids, pa.array(np.diff(offsets)), *[pa.array(_sums(mix(s ^ k), offsets).view(np.int64)) for k in (_K[3], _K[4])]]
+        sketch = pa.FixedSizeListArray.from_arrays(pa.array(parity_sketch(s, offsets).ravel()), SKETCH_LONGS).cast(pa.list_(pa.int64()))
+        return [ids, pa.array(np.diff(offsets)), *[pa.array(_sums(mix(s ^ k), offsets).view(np.int64)) for k in (_K[3], _K[4])], sketch]
 
     id_field = T.StructField("doc_id", T.LongType())
-    schema = T.StructType([id_field, T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+    schema = T.StructType([id_field, T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
     signs = materialize(_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), signed, schema), "signs")
     reps = signs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    reps = materialize(reps, "reps")
+    sketches = signs.select(F.col("doc_id").alias("rep"), "s1", "s2", *[F.get("sketch", F.lit(i)).alias(f"q{i}") for i in range(SKETCH_LONGS)]).dropDuplicates(["rep", "s1", "s2"])
+    reps = materialize(reps.where("rep is not null").join(sketches, ["rep", "s1", "s2"]), "reps")
     members = signs.join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     members = materialize(members, "members")
 
@@ -199,12 +219,12 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     shared = keys.withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group)).where("lo <> hi").select("key", "id", "lo")
     shared = materialize(shared, "shared")
 
-    sizes = reps.select(F.col("rep").alias("id"), "n")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    def side(name: str) -> DataFrame:
+        return reps.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), *[F.col(f"q{i}").alias(f"{name}{i}") for i in range(SKETCH_LONGS)])
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        return pairs.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(fits)
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    alike = fits & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
     def sets(ids: pa.Array, t: Texts) -> list[pa.Array]:
         s, offsets = shingle_sets(t, words)
@@ -213,7 +233,7 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     set_schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False))])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(sized(pairs), f"{name}-pairs")
+        pairs = materialize(pairs, f"{name}-pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         own = _only(docs, ids, ids.count(), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         incidence = materialize(_rows(own, sets, set_schema), f"{name}-sets")
@@ -221,14 +241,18 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
         found = found.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
         return materialize(found.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "overlap").distinct(), f"{name}-links")
 
-    links = verified(shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    star = shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "na", "nb")
+    links = verified(star, "star")
     comp = connected_components(links.select("a", "b"), "first")
     labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component"))
     labelled = labelled.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group)).where("c0 <> c1").drop("c0", "c1")
     labelled = materialize(labelled, "labelled")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    across = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.component <> y.component and x.id <> x.lo"))
-    links = links.unionByName(verified(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "across"))
+    # a pair with a group's smallest node has been compared
+    x = labelled.where("id <> lo").select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(side("a"), "a")
+    y = labelled.select("key", F.col("id").alias("b"), F.col("component").alias("cb")).join(side("b"), "b")
+    across = x.join(y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
+    links = links.unionByName(verified(across.select("a", "b", "na", "nb").distinct(), "across"))
     return members, links
 
 
