@@ -12,7 +12,7 @@ are sent on to the blocks of the unigram table. Each block returns a sum per doc
 the sums of a flush are added up. Words above a thousandth of the corpus (a thousand at most, which
 bounds what is broadcast) are dealt by pair instead, so no word makes a block large.
 
-Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit hashes.
+Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 48-bit hashes.
 
 Defined results: null text and text without words have n_words 0 and score 0; repeated rows count as
 often as they occur and score alike; an empty table gives an empty result; other columns are ignored.
@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 from convolake.llm.common import WORD, materialize
 from convolake.llm.kernels import mix, texts
 
-FLUSH_WORDS = 1_500_000
-BLOCK_WORDS = 2_000_000
+FLUSH_WORDS = 800_000
+BLOCK_WORDS = 1_000_000
 LEAST_BLOCKS = 48
-BEGIN, END = np.uint64(0x1BD11BDAA9FC1A22), np.uint64(0x60642E2A34326F15)
+BEGIN, END = np.uint64((1 << 48) - 1), np.uint64((1 << 48) - 2)
+#: Words are known by the upper 48 bits of their hashes.
+_SHIFT = np.uint64(16)
 _Z = "zstd"
 
 
@@ -69,7 +71,7 @@ def _flushes(batches: Iterator[pa.RecordBatch]):
             t = t.lowered()
             starts, ends, where = t.words()
             ids.append(batch.column(0).slice(lo, hi - lo))
-            codes.append(t.hashes(starts, ends))
+            codes.append(t.hashes(starts, ends) >> _SHIFT)
             owners.append(where + docs)
             docs += hi - lo
             words += len(starts)
@@ -135,7 +137,7 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
             w1, w2, owner = line[keep], follow[keep], owner[keep]
             warm, _ = is_hot(w1)
             key = np.where(warm | (w1 == BEGIN), mix(w1 ^ mix(w2)), w1)
-            block = _block(key, blocks)
+            block = _block(mix(key), blocks)
             pair = mix(w1 * np.uint64(0x9E3779B97F4A7C15) + w2)  # orders equal pairs together
             order = np.lexsort((owner, pair, w1, block))
             w1, w2, owner, block = w1[order], w2[order], owner[order], block[order]
@@ -202,7 +204,7 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
             own = np.repeat(np.arange(lo, lo + h), m)
             seen = kept[own]
             part = np.bincount(d[seen], value[own[seen]] * k[seen], r["docs"])
-            out.append((-1, r["flush"], r["docs"], None, None, None, part.astype("<f8").tobytes(), *own_lists))
+            out.append((r["flush"] % blocks, r["flush"], r["docs"], None, None, None, part.astype("<f8").tobytes(), *own_lists))
             rest = np.flatnonzero(~seen)
             if len(rest):
                 word = w2[own[rest]]
@@ -216,9 +218,9 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
             lo += h
         return pa.Table.from_arrays([pa.array(list(c), type=ty) for c, ty in zip(zip(*out, strict=True), part_types, strict=True)], names=part_schema.names)
 
-    parts = materialize(sent.groupBy("block").applyInArrow(counted, part_schema), "parts")
-
-    result_schema = "flush long, docs long, part binary, back binary"
+    parts = sent.groupBy("block").applyInArrow(counted, part_schema)
+    result_schema = T.StructType([T.StructField("flush", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("part", T.BinaryType()), T.StructField("back", T.BinaryType()), part_schema["ids"], part_schema["size"]])
+    result_types = [to_arrow_type(f.dataType) for f in result_schema]
 
     def backed(left: pa.Table, right: pa.Table) -> pa.Table:
         word = right.column("word").to_numpy().view(np.uint64)
@@ -226,12 +228,14 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
         order = np.argsort(word)
         word, count = word[order], count[order]
         out = []
-        for r in left.select(["flush", "docs", "w2", "doc", "n"]).to_pylist():
+        for r in left.select(["flush", "docs", "w2", "doc", "n", "part", "ids", "size"]).to_pylist():
+            if r["part"] is not None:  # already scored, on its way to its flush
+                out.append((r["flush"], r["docs"], r["part"], None, r["ids"], r["size"]))
+                continue
             w, d, k = unpack_array(r["w2"]), unpack_array(r["doc"]).astype(np.int64), unpack_array(r["n"]).astype(np.int64)
             value = log_discount + np.log10(count[np.searchsorted(word, w)] / total)
-            out.append((r["flush"], r["docs"], np.bincount(d, value * k, r["docs"]).astype("<f8").tobytes(), np.bincount(d, k, r["docs"]).astype("<f8").tobytes()))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=types[i]) for i in range(4)], names=["flush", "docs", "part", "back"])
+            out.append((r["flush"], r["docs"], np.bincount(d, value * k, r["docs"]).astype("<f8").tobytes(), np.bincount(d, k, r["docs"]).astype("<f8").tobytes(), None, None))
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=ty) for i, ty in enumerate(result_types)], names=result_schema.names)
 
     def table_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +243,7 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
             yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1)], names=["block", "word", "n"])
 
     table = unigrams.mapInArrow(table_block, "block long, word long, n long")
-    backs = parts.where("block >= 0").select("block", "flush", "docs", "w2", "doc", "n").groupBy("block").cogroup(table.groupBy("block")).applyInArrow(backed, result_schema)
-    seen = parts.where("block = -1").select("flush", "docs", "part", F.lit(None).cast("binary").alias("back"), "ids", "size")
+    scored = parts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(backed, result_schema)
 
     def summed(table: pa.Table) -> pa.Table:
         rows = table.select(["docs", "part", "back"]).to_pylist()
@@ -254,4 +257,4 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
         return pa.Table.from_arrays([ids, size, pa.array(back.astype(np.int64)), pa.array(score)], names=["doc_id", "n_words", "n_backoff", "score"])
 
     out_schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("score", T.DoubleType())])
-    return seen.unionByName(backs, allowMissingColumns=True).groupBy("flush").applyInArrow(summed, out_schema)
+    return scored.groupBy("flush").applyInArrow(summed, out_schema)
