@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from convolake.llm.common import WORD, materialize
 from convolake.llm.kernels import mix, texts
 
-FLUSH_WORDS = 800_000
-BLOCK_WORDS = 1_000_000
+FLUSH_WORDS = 600_000
+BLOCK_WORDS = 1_500_000
 LEAST_BLOCKS = 48
 BEGIN, END = np.uint64((1 << 48) - 1), np.uint64((1 << 48) - 2)
 #: Words are known by the upper 48 bits of their hashes.
@@ -40,22 +40,30 @@ _SHIFT = np.uint64(16)
 _Z = "zstd"
 
 
+#: Sums of log10 scores travel as whole numbers of this unit, so they add up alike in any order.
+UNIT = 2.0**-26
+
+
 def pack_array(x: np.ndarray, sorted_values: bool = False) -> bytes:
-    """Unsigned integers as compressed byte planes, of differences if sorted."""
+    """Unsigned integers as compressed byte planes, of differences if sorted; only planes in use."""
     x = x.astype(np.uint64)
     if sorted_values and len(x):
         x = np.concatenate([x[:1], np.diff(x)])
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
-    body = pa.compress(planes.tobytes(), codec=_Z, asbytes=True)
-    return np.array([len(x), sorted_values], "<i8").tobytes() + body
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(x), width, sorted_values], "<u4").tobytes() + pa.compress(planes.tobytes(), codec=_Z, asbytes=True)
 
 
 def unpack_array(raw: bytes) -> np.ndarray:
-    n, is_sorted = np.frombuffer(raw[:16], "<i8")
+    """The integers, in the narrowest type that holds them."""
+    n, width, is_sorted = (int(v) for v in np.frombuffer(raw[:12], "<u4"))
+    room = 8 if is_sorted else next(w for w in (1, 2, 4, 8) if w >= width)
     if not n:
-        return np.zeros(0, np.uint64)
-    planes = np.frombuffer(pa.decompress(raw[16:], decompressed_size=int(n) * 8, codec=_Z, asbytes=True), np.uint8)
-    x = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+        return np.zeros(0, f"<u{room}")
+    planes = np.frombuffer(pa.decompress(raw[12:], decompressed_size=n * width, codec=_Z, asbytes=True), np.uint8).reshape(width, n)
+    x = np.zeros((n, room), np.uint8)
+    x[:, :width] = planes.T
+    x = x.view(f"<u{room}").ravel()
     return np.cumsum(x, dtype=np.uint64) if is_sorted else x
 
 
@@ -168,7 +176,7 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
     begins = float(docs.where(F.col("text").rlike(WORD)).count())
 
     log_discount = float(np.log10(discount))
-    part_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("block", "flush", "docs")] + [T.StructField(c, T.BinaryType()) for c in ("w2", "doc", "n", "part")] + [T.StructField("ids", id_arrow), T.StructField("size", T.ArrayType(T.LongType()))])
+    part_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("block", "flush", "docs")] + [T.StructField(c, T.BinaryType()) for c in ("w2", "run", "doc", "n", "part")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("flushes", "sizes")] + [T.StructField("ids", id_arrow), T.StructField("size", T.ArrayType(T.LongType()))])
     part_types = [to_arrow_type(f.dataType) for f in part_schema]
 
     def counted(table: pa.Table) -> pa.Table:
@@ -198,24 +206,24 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
         kept = np.empty(len(a), bool)
         value[order] = np.where(b == END, 0.0, np.log10(pair_n / word_n))
         kept[order] = (pair_n >= min_count) | (b == END)
-        out, lo = [], 0
-        for r, own_lists, h, m, d, k in zip(rows, lists, heads, many, doc, n, strict=True):
-            m, d, k = m.astype(np.int64), d.astype(np.int64), k.astype(np.int64)
-            own = np.repeat(np.arange(lo, lo + h), m)
+        del order, a, b, new, new1, which, which1, pair_n, word_n, mass, w1
+        out, lo, rest_of = [], 0, []
+        for run, (r, own_lists, h, m, d, k) in enumerate(zip(rows, lists, heads, many, doc, n, strict=True)):
+            own = np.repeat(np.arange(lo, lo + h, dtype=np.int32), m)
             seen = kept[own]
             part = np.bincount(d[seen], value[own[seen]] * k[seen], r["docs"])
-            out.append((r["flush"] % blocks, r["flush"], r["docs"], None, None, None, part.astype("<f8").tobytes(), *own_lists))
+            out.append((r["flush"] % blocks, r["flush"], r["docs"], None, None, None, None, pack_array(np.round(-part / UNIT)), None, None, *own_lists))
             rest = np.flatnonzero(~seen)
-            if len(rest):
-                word = w2[own[rest]]
-                target = _block(mix(word), blocks)
-                by = np.lexsort((d[rest], word, target))
-                rest, word, target = rest[by], word[by], target[by]
-                cut = np.searchsorted(target, np.arange(blocks + 1))
-                for t in np.flatnonzero(np.diff(cut)):
-                    s = slice(cut[t], cut[t + 1])
-                    out.append((int(t), r["flush"], r["docs"], pack_array(word[s], True), pack_array(d[rest[s]]), pack_array(k[rest[s]]), None, None, None))
+            rest_of.append((w2[own[rest]], np.full(len(rest), run, np.uint32), d[rest], k[rest]))
             lo += h
+        word, run, d, k = (np.concatenate([x[i] for x in rest_of]) for i in range(4))
+        target = _block(mix(word), blocks).astype(np.int32)
+        by = np.lexsort((d, run, word, target))
+        cut = np.searchsorted(target[by], np.arange(blocks + 1))
+        flushes, sizes = [r["flush"] for r in rows], [r["docs"] for r in rows]
+        for t in np.flatnonzero(np.diff(cut)):
+            s = by[cut[t] : cut[t + 1]]
+            out.append((int(t), None, None, pack_array(word[s], True), pack_array(run[s]), pack_array(d[s]), pack_array(k[s]), None, flushes, sizes, None, None))
         return pa.Table.from_arrays([pa.array(list(c), type=ty) for c, ty in zip(zip(*out, strict=True), part_types, strict=True)], names=part_schema.names)
 
     parts = sent.groupBy("block").applyInArrow(counted, part_schema)
@@ -227,14 +235,26 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
         count = right.column("n").to_numpy()
         order = np.argsort(word)
         word, count = word[order], count[order]
-        out = []
-        for r in left.select(["flush", "docs", "w2", "doc", "n", "part", "ids", "size"]).to_pylist():
-            if r["part"] is not None:  # already scored, on its way to its flush
-                out.append((r["flush"], r["docs"], r["part"], None, r["ids"], r["size"]))
-                continue
-            w, d, k = unpack_array(r["w2"]), unpack_array(r["doc"]).astype(np.int64), unpack_array(r["n"]).astype(np.int64)
-            value = log_discount + np.log10(count[np.searchsorted(word, w)] / total)
-            out.append((r["flush"], r["docs"], np.bincount(d, value * k, r["docs"]).astype("<f8").tobytes(), np.bincount(d, k, r["docs"]).astype("<f8").tobytes(), None, None))
+        out, part, back = [], {}, {}
+        for batch in left.to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                if r["part"] is not None:  # already scored, on its way to its flush
+                    out.append((r["flush"], r["docs"], r["part"], None, r["ids"], r["size"]))
+                    continue
+                w, run, d, k = (unpack_array(r[c]) for c in ("w2", "run", "doc", "n"))
+                docs_in = np.array(r["sizes"])
+                begin = np.cumsum(docs_in) - docs_in
+                at = begin[run] + d
+                value = log_discount + np.log10(count[np.searchsorted(word, w)] / total)
+                gained, many = np.bincount(at, value * k, docs_in.sum()), np.bincount(at, k, docs_in.sum())
+                for f, n, lo in zip(r["flushes"], r["sizes"], begin, strict=True):
+                    if f in part:
+                        part[f] += gained[lo : lo + n]
+                        back[f] += many[lo : lo + n].astype(np.int64)
+                    else:
+                        part[f], back[f] = gained[lo : lo + n].copy(), many[lo : lo + n].astype(np.int64)
+        for f, own in part.items():
+            out.append((f, len(own), pack_array(np.round(-own / UNIT)), pack_array(back[f]), None, None))
         return pa.Table.from_arrays([pa.array([o[i] for o in out], type=ty) for i, ty in enumerate(result_types)], names=result_schema.names)
 
     def table_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +268,12 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
     def summed(table: pa.Table) -> pa.Table:
         rows = table.select(["docs", "part", "back"]).to_pylist()
         ids, size = table.column("ids").combine_chunks().flatten(), table.column("size").combine_chunks().flatten()
-        score, back = np.zeros(rows[0]["docs"]), np.zeros(rows[0]["docs"])
-        # in a fixed order, so that reruns agree to the last bit
-        for r in sorted(rows, key=lambda r: (r["back"] is None, r["back"] or b"", r["part"])):
-            score += np.frombuffer(r["part"], "<f8")
+        score, back = np.zeros(rows[0]["docs"], np.uint64), np.zeros(rows[0]["docs"], np.uint64)
+        for r in rows:
+            score += unpack_array(r["part"])
             if r["back"] is not None:
-                back += np.frombuffer(r["back"], "<f8")
-        return pa.Table.from_arrays([ids, size, pa.array(back.astype(np.int64)), pa.array(score)], names=["doc_id", "n_words", "n_backoff", "score"])
+                back += unpack_array(r["back"])
+        return pa.Table.from_arrays([ids, size, pa.array(back.astype(np.int64)), pa.array(score * -UNIT + 0.0)], names=["doc_id", "n_words", "n_backoff", "score"])
 
     out_schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("score", T.DoubleType())])
     return scored.groupBy("flush").applyInArrow(summed, out_schema)
