@@ -5,11 +5,500 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from convolake import catalog_sql as S
+from convolake.functions import text as X
+from convolake.functions.lexicon import STOPWORDS
+from convolake.operators import action_graph as G
+from convolake.operators import dense as D
+from convolake.operators import evaluation as E
+from convolake.operators import evidence as V
+from convolake.operators import relational as R
+from convolake.operators import sessions as C
+from convolake.operators import vectors as N
+from convolake.plans import modeling as M
+from convolake.sources import tables as T
+from convolake.streaming import sessions as ST
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name; doubles are rounded to 6 digits where SQL checks them."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return df.select(*[F.round(F.col(c), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+        run.__name__ = f.__name__
+        FOUND[f.__name__] = (run, sql)
+        return run
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: v[0] for k, v in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v[1] for k, v in FOUND.items() if v[1]}
+
+
+# ---- relations ------------------------------------------------------------------------------
+
+
+def views(t) -> DataFrame:
+    return C.session_views(C.transcript(t("conversations")))
+
+
+def lines(t) -> DataFrame:
+    return C.ordered_lines(C.transcript(t("conversations")), S.LEX)
+
+
+def responses(t) -> DataFrame:
+    pairs = t("conversations").select(F.col("conv_id").alias("session_id")).distinct().select("session_id", F.explode(F.array(F.col("session_id") % 40, (F.col("session_id") + 7) % 40)).alias("objective_id"))
+    return pairs.join(t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective")), "objective_id")
+
+
+def scored(t) -> DataFrame:
+    return V.scored(lines(t), responses(t))
+
+
+def probabilities(t) -> DataFrame:
+    """Rows with a label y, three heads, a session and a group."""
+    d = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return d.select(F.col("l_orderkey").alias("session"), F.col("p_brand").alias("grp"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (0.05 + F.col("l_discount") * 9).alias("p1"), (F.col("l_tax") * 10 + 0.1).alias("p2"), (F.col("l_quantity") / 51).alias("p3"))
+
+
+# ---- session views ---------------------------------------------------------------------------
+
+
+@query(S.views("session_id, utterance_count, char_count, word_count, " + ", ".join(f"{r}_{k}_count" for r in C.ROLES for k in ("utterance", "char", "word"))))
+def session_views_counts(t):
+    return views(t).select("session_id", "utterance_count", "char_count", "word_count", *[f"{r}_{k}_count" for r in C.ROLES for k in ("utterance", "char", "word")])
+
+
+@query(S.views("session_id, " + ", ".join(f"{S.ratio(f'{r}_{k}_count', f'{k}_count')} AS {r}_{k}_ratio" for r in C.ROLES for k in ("utterance", "char", "word"))))
+def session_views_ratios(t):
+    return views(t).select("session_id", *[f"{r}_{k}_ratio" for r in C.ROLES for k in ("utterance", "char", "word")])
+
+
+@query(S.views("session_id, full_text, tutor_text, student_text, background_text"))
+def session_views_texts(t):
+    return views(t).select("session_id", "full_text", "tutor_text", "student_text", "background_text")
+
+
+@query(S.views("session_id, opening_text, closing_tutor_text, closing_student_text"))
+def opening_closing_slices(t):
+    return views(t).select("session_id", "opening_text", "closing_tutor_text", "closing_student_text")
+
+
+@query(S.views(f"session_id, role_transition_count, {S.ratio('role_transition_count', 'utterance_count - 1')} AS role_transition_ratio"))
+def session_role_transitions(t):
+    return views(t).select("session_id", "role_transition_count", "role_transition_ratio")
+
+
+@query(S.views(f"session_id, short_student_count, {S.ratio('short_student_count', 'student_utterance_count')} AS short_student_ratio, question_count, {S.ratio('question_count', 'utterance_count')} AS question_ratio"))
+def session_short_lines(t):
+    return views(t).select("session_id", "short_student_count", "short_student_ratio", "question_count", "question_ratio")
+
+
+@query(S.views(f"session_id, unclear_student_count, {S.ratio('unclear_student_count', 'student_utterance_count')} AS unclear_student_ratio, feedback_proxy_count, {S.ratio('feedback_proxy_count', 'tutor_utterance_count')} AS feedback_proxy_ratio, correction_proxy_count, {S.ratio('correction_proxy_count', 'tutor_utterance_count')} AS correction_proxy_ratio"))
+def session_regex_proxies(t):
+    return views(t).select("session_id", *[f"{n}_{k}" for n in ("unclear_student", "feedback_proxy", "correction_proxy") for k in ("count", "ratio")])
+
+
+@query(S.DURATION)
+def session_duration_events(t):
+    e = t("events").select(F.col("user_id").alias("session_id"), F.col("event_id").cast("string").alias("utterance_id"), F.col("event_type").alias("role"), F.col("props").alias("content"), F.concat(F.lit("0:"), F.date_format("ts", "mm:ss")).alias("timestamp"))
+    return C.session_views(e).select("session_id", "utterance_count", "duration_seconds", "role_transition_count")
+
+
+# ---- text ------------------------------------------------------------------------------------
+
+
+@query(S.NORMALIZE)
+def normalize_text(t):
+    return t("documents").select("doc_id", X.normalize(F.col("text")).alias("normal"))
+
+
+@query(S.TOKENS)
+def tokenize_counts(t):
+    toks = X.tokens(F.col("text"))
+    return t("documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_unique"), F.array_join(F.slice(toks, 1, 20), " ").alias("head"), X.word_count(F.col("text")).alias("n_words"))
+
+
+@query(S.STOPWORDS_SQL)
+def stopword_filter(t):
+    return t("benchmark").select("item_id", F.array_join(V.objective_tokens(F.col("text")), " ").alias("kept"), F.size(X.without(X.tokens(F.col("text")), STOPWORDS)).cast("long").alias("n_kept"))
+
+
+@query(S.CLOCK)
+def clock_parse(t):
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("1:61:00")).otherwise(F.concat(F.lit(" "), F.date_format("ts", "HH:mm:ss.SSS")))
+    return t("events").select("event_id", X.clock_seconds(text).alias("seconds"))
+
+
+@query(S.lines("SELECT session_id, count(*) FILTER (WHERE q)::BIGINT AS n_questions, count(*) FILTER (WHERE q AND role = 'tutor')::BIGINT AS n_tutor_questions FROM lines GROUP BY session_id"))
+def question_lines(t):
+    return lines(t).groupBy("session_id").agg(F.count_if("q").alias("n_questions"), F.count_if(F.col("q") & (F.col("role") == "tutor")).alias("n_tutor_questions"))
+
+
+@query(S.lines("SELECT session_id, ord, fb, co, re, un FROM lines"))
+def phrase_lines(t):
+    return lines(t).select("session_id", F.col("ord").cast("long").alias("ord"), "fb", "co", "re", "un")
+
+
+@query(S.lines("SELECT session_id, ord, role, rendered FROM lines"))
+def ordered_lines(t):
+    return lines(t).select("session_id", F.col("ord").cast("long").alias("ord"), "role", "rendered")
+
+
+# ---- evidence --------------------------------------------------------------------------------
+
+KEYS = list(V.RESPONSE)
+
+
+@query(S.scored("SELECT session_id, objective_id, ord, round(ovl, 6) AS ovl FROM s"))
+def line_overlap_scores(t):
+    return scored(t).select(*KEYS, F.col("ord").cast("long").alias("ord"), "ovl")
+
+
+@query(S.scored("SELECT session_id, objective_id, ord, rank FROM anchors"))
+def anchor_topk(t):
+    return V.anchors(scored(t), S.K).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(S.scored(f"SELECT session_id, objective_id, role, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id, role ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0) WHERE rank <= {S.K}"))
+def anchor_topk_by_role(t):
+    return V.anchors(scored(t), S.K, by_role=True).select(*KEYS, "role", F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(S.scored("SELECT session_id, objective_id, ord, priority FROM near"))
+def neighbor_expansion(t):
+    return V.neighbours(scored(t), S.K, S.BUDGETS.radius).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("priority").cast("long").alias("priority"))
+
+
+@query(S.scored(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY priority, ord) AS rn, ord, rendered AS text FROM near JOIN s USING (session_id, objective_id, ord)", S.BUDGETS.context, 1, "objective_context"), recursive=True))
+def budget_select_context(t):
+    return V.context(scored(t), S.BUDGETS)
+
+
+@query(S.scored(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rank, ord) AS rn, ord, rendered AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0 AND role = 'student')" + f" WHERE rank <= {S.K}", S.BUDGETS.role, 1, "role_text"), recursive=True))
+def budget_role_text(t):
+    return V.role_texts(scored(t), S.BUDGETS).where("role = 'student'").drop("role")
+
+
+@query(S.scored(S.EDGES))
+def budget_join_chunks(t):
+    return V.edges(scored(t), S.BUDGETS)
+
+
+@query(S.scored(S.windows("qa") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win"))
+def qa_windows(t):
+    return V.windows(scored(t), S.BUDGETS.max_gap, "qa").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+
+
+@query(S.scored(S.windows("feedback") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win"))
+def feedback_windows(t):
+    return V.windows(scored(t), S.BUDGETS.max_gap, "feedback").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+
+
+@query(S.scored(S.windows("feedback") + S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY score DESC, start, text) AS rn, start AS ord, text FROM win", S.BUDGETS.window, 2, "windows_text"), recursive=True))
+def budget_windows(t):
+    return V.select_windows(V.windows(scored(t), S.BUDGETS.max_gap, "feedback"), S.BUDGETS.window)
+
+
+# ---- dense features --------------------------------------------------------------------------
+
+
+@query(S.scored(S.DENSE_MATCH))
+def dense_match(t):
+    return D.match_features(scored(t))
+
+
+@query(S.lines(S.DENSE_VOLUME))
+def dense_volume(t):
+    return D.volume_features(lines(t))
+
+
+@query(S.lines(S.dense_segments()))
+def dense_segments(t):
+    d = D.segment_features(lines(t))
+    return d.select("session_id", *[c for c in d.columns if c.split("_")[0] in D.SEGMENTS])
+
+
+@query(S.lines(S.dense_segments(deltas=True)))
+def dense_deltas(t):
+    d = D.segment_features(lines(t))
+    return d.select("session_id", *[c for c in d.columns if c.endswith("_minus_early")])
+
+
+@query()
+def dense_all(t):
+    return D.dense_features(scored(t), S.BUDGETS)
+
+
+# ---- action graph ----------------------------------------------------------------------------
+
+
+def actions(t) -> DataFrame:
+    return G.labelled(lines(t), S.LEX)
+
+
+@query(S.lines(S.ACTIONS + S.GRAPH_COUNTS))
+def graph_counts(t):
+    return G.action_counts(actions(t))
+
+
+@query(S.lines(S.ACTIONS + S.GRAPH_RUNS))
+def graph_runs(t):
+    d = actions(t)
+    return G.longest_run(d, F.array_contains("actions", "hint"), "hint_depth").join(G.longest_run(d, F.array_contains("actions", "correction"), "correction_chain_length"), "session_id").join(G.flips(d, F.array_contains("toks", "the"), "concept_transition_count"), "session_id")
+
+
+@query(S.EVENT_RUNS)
+def event_runs(t):
+    e = t("events").select(F.col("user_id").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("at"), "event_type")
+    return G.longest_run(e, F.col("event_type") == "click", "longest_clicks").join(G.flips(e, F.col("event_type") == "click", "n_flips"), "session_id")
+
+
+@query(S.lines(S.ACTIONS + S.GRAPH_EDGES))
+def graph_edges_density(t):
+    return G.graph_shape(actions(t))
+
+
+@query(S.lines(S.ACTIONS + S.GRAPH_PERSISTENCE))
+def graph_persistence(t):
+    return G.persistence(actions(t))
+
+
+@query(S.lines(S.ACTIONS + S.GRAPH_THIRDS))
+def graph_thirds(t):
+    return G.thirds(actions(t))
+
+
+# ---- keys and joins --------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, lang, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def one_to_one_join(t):
+    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id")
+
+
+@query("SELECT doc_id, 'left' AS side FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def key_set_equality(t):
+    return R.key_difference(t("documents"), t("labels"), "doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_key_report(t):
+    return R.duplicate_keys(t("lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name, unnest([count(*) FILTER (WHERE doc_id IS NULL), count(*) FILTER (WHERE text IS NULL OR text = ''), count(*) FILTER (WHERE lang IS NULL OR lang = ''), count(*) FILTER (WHERE source IS NULL OR source = ''), count(*) FILTER (WHERE n_chars IS NULL)])::BIGINT AS n_missing FROM documents")
+def nonempty_report(t):
+    return R.null_or_empty(t("documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def purge_anti_join(t):
+    return R.purge(t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), t("customer").where("c_mktsegment = 'BUILDING'"), "c_custkey").select("o_orderkey", F.col("c_custkey").alias("o_custkey"))
+
+
+@query("SELECT s_suppkey, s_nationkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def dimension_map(t):
+    return R.map_dimension(t("supplier").select("s_suppkey", "s_nationkey"), t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey", "n_name").select("s_suppkey", "s_nationkey", "n_name")
+
+
+@query("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS row_id, o_orderkey, o_custkey FROM orders")
+def row_id_assignment(t):
+    return R.with_row_id(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("row_id", "o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey % 64 AS part, sha256(string_agg(sha256(concat(o_orderkey, '|', o_custkey, '|', o_orderstatus)), '' ORDER BY o_orderkey)) AS digest, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def identity_digest(t):
+    d = t("orders").select("o_orderkey", (F.col("o_custkey") % 64).alias("part"), F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus").cast("binary"), 256).alias("h"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "h"))), lambda x: x["h"])
+    return d.groupBy("part").agg(F.sha2(F.array_join(hashes, "").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT role, substr(text, 1, 8) AS head FROM conversations")
+def distinct_pairs(t):
+    return t("conversations").select("role", F.substring("text", 1, 8).alias("head")).distinct()
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(t):
+    return t("customer").select("c_custkey").subtract(t("orders").select("o_custkey"))
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events) WHERE rank <= 3")
+def topk_per_group(t):
+    w = Window.partitionBy("user_id").orderBy(F.col("value").desc_nulls_last(), "event_id")
+    return t("events").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("user_id", "event_id", "rank")
+
+
+@query(S.PROFILE)
+def table_profile(t):
+    return T.profile(t("events")).select("column_name", "n_rows", "n_missing")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_props_flatten(t):
+    parsed = t("events").select("event_id", F.from_json("props", "k long").alias("props"))
+    return T.flatten(parsed).select("event_id", F.col("`props.k`").alias("k"))
+
+
+# ---- folds and metrics -----------------------------------------------------------------------
+
+
+@query(S.FOLDS + " SELECT grp, pos, size, fold FROM folds")
+def fold_snake(t):
+    return E.snake_folds(probabilities(t), "grp", "y", 5)
+
+
+@query(S.FOLDS + " SELECT split, count(*)::BIGINT AS n, sum(y)::BIGINT AS pos FROM (SELECT p.*, CASE WHEN fold = 0 THEN 'validation' WHEN session IN (SELECT session FROM p JOIN folds USING (grp) WHERE fold = 0) THEN 'purged' ELSE 'train' END AS split FROM p JOIN folds USING (grp)) GROUP BY split")
+def fold_purge(t):
+    d = probabilities(t)
+    return E.splits(d, E.snake_folds(d, "grp", "y", 5), "grp", "session", 0).groupBy("split").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+
+
+@query(S.FOLDS + " SELECT 0::BIGINT AS n_shared")
+def fold_isolation(t):
+    d = probabilities(t)
+    s = E.splits(d, E.snake_folds(d, "grp", "y", 5), "grp", "session", 0)
+    shared = [s.where("split = 'train'").select(F.col(c).cast("string")).intersect(s.where("split = 'validation'").select(F.col(c).cast("string"))) for c in ("session", "grp")]
+    return shared[0].union(shared[1]).agg(F.count("*").alias("n_shared"))
+
+
+@query(S.FOLDS + " SELECT fold, round(avg(y), 6) AS prior FROM p JOIN folds USING (grp) GROUP BY fold")
+def fold_prior(t):
+    d = probabilities(t)
+    return d.join(E.snake_folds(d, "grp", "y", 5).select("grp", "fold"), "grp").groupBy("fold").agg(F.avg("y").alias("prior"))
+
+
+@query(S.PROBS + f" SELECT round({S.log_loss('p3')}, 6) AS log_loss, round(avg((p3 - y) * (p3 - y)), 6) AS brier FROM p")
+def metric_logloss_brier(t):
+    return probabilities(t).agg(E.log_loss(F.col("y"), F.col("p3")).alias("log_loss"), E.brier(F.col("y"), F.col("p3")).alias("brier"))
+
+
+@query(S.PROBS + S.AUC)
+def metric_auc(t):
+    return E.roc_auc(probabilities(t).select("grp", "y", F.col("p3").alias("p")), "grp")
+
+
+@query(S.PROBS + " SELECT grp, round(sum(n * abs(y - q)) / sum(n), 6) AS ece FROM (SELECT grp, least(floor(p3 * 10), 9) AS bin, count(*) AS n, avg(y) AS y, avg(p3) AS q FROM p GROUP BY 1, 2) GROUP BY grp")
+def metric_ece10(t):
+    return E.ece(probabilities(t).select("grp", "y", F.col("p3").alias("p")), 10, "grp")
+
+
+@query(S.FOLDS + f", f AS (SELECT fold, {S.log_loss('p3')} AS ll FROM p JOIN folds USING (grp) GROUP BY fold) SELECT round(avg(ll), 6) AS mean, round(stddev_pop(ll), 6) AS std, round(max(ll), 6) AS worst FROM f")
+def fold_dispersion(t):
+    d = probabilities(t)
+    f = d.join(E.snake_folds(d, "grp", "y", 5).select("grp", "fold"), "grp").groupBy("fold").agg(E.log_loss(F.col("y"), F.col("p3")).alias("ll"))
+    return M.dispersion(f, "ll")
+
+
+@query(S.PROBS + f" SELECT session, round({S.platt('p3', 1.3, -0.2)}, 6) AS q, count(*)::BIGINT AS n FROM p GROUP BY 1, 2")
+def platt_apply(t):
+    return probabilities(t).select("session", F.round(E.platt(F.col("p3"), 1.3, -0.2), 6).alias("q")).groupBy("session", "q").agg(F.count("*").alias("n"))
+
+
+@query(S.PROBS + f" SELECT session, round({S.BLEND}, 6) AS q, count(*)::BIGINT AS n FROM p GROUP BY 1, 2")
+def blend_clip(t):
+    d = probabilities(t)
+    return d.select("session", F.round(E.blend([(F.col("p1"), 0.25), (F.col("p2"), 0.25), (F.col("p3"), 0.5)]), 6).alias("q")).groupBy("session", "q").agg(F.count("*").alias("n"))
+
+
+def losses(d: DataFrame, *keys: str) -> DataFrame:
+    d = d.withColumn("pe", E.blend([(F.col("p1"), 0.25), (F.col("p2"), 0.25), (F.col("p3"), 0.5)])).withColumn("p0", F.lit(0.33))
+    return d.groupBy(*keys).agg(*[E.log_loss(F.col("y"), F.col(c)).alias(c) for c in ("p0", "p1", "p2", "p3", "pe")])
+
+
+@query(S.GATE)
+def promotion_gate(t):
+    d = probabilities(t)
+    f = losses(d.join(E.snake_folds(d, "grp", "y", 5).select("grp", "fold"), "grp"), "fold")
+    return f.agg(F.bool_and(F.col("pe") < F.least("p0", "p1", "p2", "p3")).alias("passed"), F.max_by("fold", "pe").alias("worst_fold"), F.max("pe").alias("worst"))
+
+
+@query(S.ABLATION)
+def ablation_delta(t):
+    d = probabilities(t)
+    return losses(d, "grp").select("grp", (F.col("pe") - F.col("p3")).alias("delta"))
+
+
+# ---- vectors and models ----------------------------------------------------------------------
+
+
+@query(S.HASHED)
+def hashed_ngrams_l2(t):
+    return N.hashed_ngrams(t("benchmark"), "item_id", X.tokens(F.col("text")), 1024)
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - m1) / s1 / sqrt(2), 6) AS l_quantity, round((l_discount - m2) / s2 / sqrt(2), 6) AS l_discount FROM lineitem, (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2, stddev_pop(l_discount) AS s2 FROM lineitem)")
+def dense_scaler_geometry(t):
+    return N.scale(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), ["l_quantity", "l_discount"])
+
+
+@query("SELECT vec_id, round(e[1]::DOUBLE / n, 6) AS first, round(e[64]::DOUBLE / n, 6) AS last, round(n, 6) AS norm FROM (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
+def l2_normalize(t):
+    unit = N.l2_normalize(F.col("embedding"))
+    return t("embeddings").select("vec_id", F.get(unit, F.lit(0)).alias("first"), F.get(unit, F.lit(63)).alias("last"), F.sqrt(N.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+
+
+def gathered(t) -> DataFrame:
+    e = t("embeddings")
+    o = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("objective"))
+    return e.join(o, "label").select("vec_id", "label", N.l2_normalize(F.col("embedding")).alias("c"), N.l2_normalize(F.col("objective")).alias("o"))
+
+
+@query(S.GATHERED + " SELECT vec_id, label, round(o[1], 6) AS o1 FROM g")
+def objective_gather(t):
+    return gathered(t).select("vec_id", "label", F.get("o", F.lit(0)).alias("o1"))
+
+
+@query(S.GATHERED + " SELECT vec_id, round(list_sum(list_transform(list_zip(c, o), lambda p: abs(p[1] - p[2]))), 6) AS l1, round(list_sum(list_transform(list_zip(c, o), lambda p: p[1] * p[2])), 6) AS cosine, 257::BIGINT AS width FROM g")
+def semantic_interactions(t):
+    m = gathered(t).select("vec_id", N.interactions(F.col("c"), F.col("o")).alias("m"))
+    part = lambda lo, n: F.aggregate(F.slice("m", lo, n), F.lit(0.0), lambda a, x: a + x)
+    return m.select("vec_id", part(129, 64).alias("l1"), F.get("m", F.lit(256)).alias("cosine"), F.size("m").cast("long").alias("width"))
+
+
+@query(S.LLOYD)
+def lloyd_step(t):
+    e = t("embeddings")
+    centres = e.where("vec_id < 5").select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").alias("centre"))
+    return N.lloyd_step(e, centres)
+
+
+@query("SELECT user_id, session_start, n_events, total, duration_us FROM (SELECT user_id, min(ts) AS session_start, count(*)::BIGINT AS n_events, round(sum(coalesce(value, 0)), 4) AS total, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS duration_us FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, sid)")
+def session_windows(t):
+    return ST.session_windows(t("events"))
+
+
+def labelled_vectors(t) -> DataFrame:
+    return t("embeddings").select("vec_id", F.col("label").cast("string").alias("grp"), F.expr("vec_id div 4").alias("session"), (F.get("embedding", F.lit(0)) > 0).cast("int").alias("y"), "embedding")
+
+
+@query()
+def lr_head_oof(t):
+    return M.out_of_fold(labelled_vectors(t), "embedding", "y", "grp", "session").select("vec_id", "fold", "y", "probability")
+
+
+@query()
+def kmeans_families(t):
+    return M.families(t("embeddings"), 10, 0)
+
+
+@query()
+def predict_pipeline(t):
+    d = labelled_vectors(t).withColumnRenamed("vec_id", "response_id").withColumn("half", F.slice("embedding", 1, 32))
+    heads = [(M.fit_head(d, c, "y"), c, 0.5) for c in ("half", "embedding")]
+    return M.predict(d, heads)
