@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from convolake.llm.common import connected_components, materialize
-from convolake.llm.kernels import Texts, mix, texts
+from convolake.llm.kernels import Texts, mix, texts, trimming
 
 _K = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)]
 #: Up to this many differing shingles, keys span two blocks.
@@ -171,7 +171,7 @@ def block_keys(s: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.nda
 
 def _rows(docs: DataFrame, make, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimming(batches):
             for lo, hi, t in texts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(make(batch.column(0).slice(lo, hi - lo), t), names=schema.names)
 

@@ -6,6 +6,7 @@ entries of a prefix sum, so words, word n-grams and byte n-grams all cost a few
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,20 @@ def texts(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
+def trimming(batches: Iterator) -> Iterator:
+    """The batches; after each, memory that is free goes back to the system, as idle workers live on between stages."""
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        trim = None
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def ngrams(words: Texts, lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte n-grams of each text of `words`, lo <= n <= hi: the bucket and the text of each."""
     size = np.diff(words.offsets)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolake.llm.common import held_out
-from convolake.llm.kernels import Texts, bracketed, ngrams, texts
+from convolake.llm.kernels import Texts, bracketed, ngrams, texts, trimming
 
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in trimming(batches):
             for lo, hi, t in texts(batch.column(1), 1 << 20):
                 pi = own.proportions(t)
                 some = pi.sum(1) > 0 if pi.shape[1] else np.zeros(len(pi), bool)
@@ -162,15 +162,14 @@ def keep_identified(docs: DataFrame, *, least_share: float = 0.5, most_per_langu
     """
     model = fit(training_sample(docs, most_per_language), **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages x 8 bytes
-    names = docs.columns
+    names, place = docs.columns, docs.columns.index("text")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            for lo, hi, t in texts(batch.column(len(names)), 1 << 20):
-                pi = own.proportions(t)
-                keep = pi.max(1, initial=0.0) >= least_share
+        for batch in trimming(batches):
+            letters = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            for lo, hi, t in texts(batch.column(place), 1 << 20):
+                keep = (own.proportions(t).max(1, initial=0.0) >= least_share) & letters[lo:hi]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).filter(pa.array(keep)) for c in batch.columns[: len(names)]], names=names)
 
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    return docs.select("*", F.when(letters, F.col("text")).otherwise("").alias("_judged")).mapInArrow(judged, docs.schema)
+    return docs.select("*", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters")).mapInArrow(judged, docs.schema)

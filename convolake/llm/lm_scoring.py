@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolake.llm.common import WORD, materialize
-from convolake.llm.kernels import mix, texts
+from convolake.llm.kernels import mix, texts, trimming
 
 FLUSH_WORDS = 600_000
 BLOCK_WORDS = 1_500_000
@@ -74,7 +74,7 @@ def _block(key: np.ndarray, blocks: int) -> np.ndarray:
 def _flushes(batches: Iterator[pa.RecordBatch]):
     """Runs of documents: ids, the words' hashes and each word's document within the run."""
     ids, codes, owners, docs, words = [], [], [], 0, 0
-    for batch in batches:
+    for batch in trimming(batches):
         for lo, hi, t in texts(batch.column(1)):
             t = t.lowered()
             starts, ends, where = t.words()
@@ -258,7 +258,7 @@ def lm_scores(docs: DataFrame, *, min_count: int = 2, discount: float = 0.4, hot
         return pa.Table.from_arrays([pa.array([o[i] for o in out], type=ty) for i, ty in enumerate(result_types)], names=result_schema.names)
 
     def table_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimming(batches):
             block = _block(mix(batch.column(0).to_numpy().view(np.uint64)), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1)], names=["block", "word", "n"])
 

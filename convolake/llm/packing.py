@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from convolake.llm.common import materialize
+from convolake.llm.kernels import trimming
 
 #: Chunks of text of which a worker remembers the ids.
 CACHED_CHUNKS = 500_000
@@ -139,7 +140,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_for(tokenizer)
-        for batch in batches:
+        for batch in trimming(batches):
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 rows, start, length, crc, total, ids = [], [], [], [], [], []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolake.llm.common import held_out
-from convolake.llm.kernels import Texts, bracketed, ngrams, texts
+from convolake.llm.kernels import Texts, bracketed, ngrams, texts, trimming
 
 
 @dataclass
@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in trimming(batches):
             for lo, hi, t in texts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(own.score(t))], names=["doc_id", "score"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from convolake.llm.kernels import trimming
+
 SPACE_MARK = "▁"
 _CHUNK = re.compile("▁*[^▁\n]+|▁+|\n")
 CACHED_CHUNKS = 300_000
@@ -97,7 +99,7 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(model)
-        for batch in batches:
+        for batch in trimming(batches):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 own = part.column(1).to_pylist()
