@@ -27,6 +27,8 @@ from convolake.llm.common import held_out
 from convolake.llm.kernels import Texts, bracketed, ngrams, texts, trimming
 
 UNKNOWN = "und"
+#: A document whose languages all have less of its words than this is not identified; texts in two or three languages are.
+LEAST_SHARE = 1 / 3
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -155,7 +157,7 @@ def identify_languages(docs: DataFrame, *, most_per_language: int = 1500, **fitt
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_set")
 
 
-def keep_identified(docs: DataFrame, *, least_share: float = 0.5, most_per_language: int = 1500, **fitting) -> DataFrame:
+def keep_identified(docs: DataFrame, *, least_share: float = LEAST_SHARE, most_per_language: int = 1500, **fitting) -> DataFrame:
     """docs' rows and columns, without those that are `und` or have no language of least_share of their words.
 
     Rows are judged in place, so nothing is shuffled.
