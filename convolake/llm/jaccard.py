@@ -33,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from convolake.llm.common import connected_components, materialize
 from convolake.llm.kernels import Texts, mix, texts, trimming
@@ -215,9 +214,10 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
 
     key_schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
     keys = _rows(single.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keyed, key_schema)
-    group = Window.partitionBy("key")
-    shared = keys.withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group)).where("lo <> hi").select("key", "id", "lo")
-    shared = materialize(shared, "shared")
+    keys = materialize(keys, "keys")
+    # ranges are pre-aggregated and joined back: a window would put all rows of a hot key into one task, a join is split
+    ranges = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo"), "ranges")
+    shared = materialize(keys.join(ranges, "key").select("key", "id", "lo"), "shared")
 
     def side(name: str) -> DataFrame:
         return reps.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), *[F.col(f"q{i}").alias(f"{name}{i}") for i in range(SKETCH_LONGS)])
@@ -246,8 +246,9 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     links = verified(star, "star")
     comp = connected_components(links.select("a", "b"), "first")
     labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component"))
-    labelled = labelled.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group)).where("c0 <> c1").drop("c0", "c1")
     labelled = materialize(labelled, "labelled")
+    several = materialize(labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key"), "several")
+    labelled = labelled.join(several, "key", "left_semi")
     # a pair with a group's smallest node has been compared
     x = labelled.where("id <> lo").select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(side("a"), "a")
     y = labelled.select("key", F.col("id").alias("b"), F.col("component").alias("cb")).join(side("b"), "b")
