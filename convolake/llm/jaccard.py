@@ -239,7 +239,9 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
         incidence = materialize(_rows(own, sets, set_schema), f"{name}-sets")
         found = pairs.join(incidence.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(incidence.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         found = found.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
-        return materialize(found.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "overlap").distinct(), f"{name}-links")
+        linked = found.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "overlap")
+        # repeated rows of one id repeat links; distinct follows the table, as within its plan it would keep a hot id's join from being split
+        return materialize(linked, f"{name}-links").distinct()
 
     star = shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "na", "nb")
