@@ -214,8 +214,8 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
 
     key_schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
     keys = _rows(single.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keyed, key_schema)
-    keys = materialize(keys, "keys")
-    # ranges are pre-aggregated and joined back: a window would put all rows of a hot key into one task, a join is split
+    # ranges are pre-aggregated and joined back: a window would put all rows of a hot key into one task, a join is split.
+    # Keys are made twice rather than written: the aggregation's tasks then stay as small as the texts' splits
     ranges = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo"), "ranges")
     shared = materialize(keys.join(ranges, "key").select("key", "id", "lo"), "shared")
 
