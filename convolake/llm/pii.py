@@ -35,10 +35,11 @@ FEATURES = ("kind", "length", "digits", "separators", "luhn", "octets", "grouped
 _NAME = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:(?<![{_NAME}])|\G)[{_NAME}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-# runs of fewer than 12 digits never pass, so they are not matched
-CARD = r"[0-9](?:[\x20-]?[0-9]){11,}"
+# runs of fewer than 12 digits never pass, so they are not matched; Java repeats a group on its stack unless the
+# repetition is possessive, which finds the same here, as nothing follows it
+CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SPELT_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,64}+(?:\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,64}+)+"
+SPELT_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,64}+(?:\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,64}+)++"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.)-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
 
 CUES = r"(?:tel|telephone|phone|call|mobile|cell|fax|contact|reach|e-?mail|mail|write|card|visa|mastercard|ip|address|host)\W{0,3}(?:\w{1,4}\W)?$"

@@ -99,3 +99,30 @@ def test_expression_scores_like_the_trees(spark):
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, f array<double>")
     got = [r[0] for r in df.orderBy("i").select(model.expression([F.element_at("f", k + 1) for k in range(len(pii.FEATURES))])).collect()]
     assert got == pytest.approx(model.score(x).tolist())
+
+
+def test_very_long_runs(spark):
+    """Java's regular expressions overflow the stack on these where a group repeats recursively."""
+    long = ["7 " * 60_000, "12-" * 40_000 + "4", "9" * 100_000, "x " + "7 " * 50_000 + "a@b.c", "see 4111 1111 1111 1111 " + "3 x " * 30_000]
+    spelt = "jo at site" + " dot site" * 20_000
+    df = spark.createDataFrame(list(enumerate([*long, spelt])), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    for i, t in enumerate(long):
+        want = base_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(got[i].spans.split(","))
+    assert len(got) == len(long) + 1 and got[len(long)].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_possessive_runs_find_the_same(spark):
+    from pyspark.sql import functions as F
+
+    plain = {pii.CARD: pii.CARD.replace("?+", "?").replace("}+", "}"), pii.SPELT_EMAIL: pii.SPELT_EMAIL.removesuffix("+")}
+    rng = random.Random(9)
+    words, breaks = ["a", "jo", "x" * 70, " b", "c ", ""], [" at ", "(at)", " dot ", "[dot]", " (dot) ", "  dot ", " ", "."]
+    spelt = ["".join(rng.choice(words[:2]) + rng.choice(breaks) + rng.choice(words) for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    cards = ["".join(rng.choice("0123456789012345 -") for _ in range(rng.randint(10, 60))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in [*spelt, *cards]], "text string")
+    for now, before in plain.items():
+        assert now != before
+        found = df.select(F.regexp_extract_all("text", F.lit(now), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(before), F.lit(0)).alias("b"))
+        assert found.where("a != b").count() == 0 and found.where("size(a) > 0").count() > 50
