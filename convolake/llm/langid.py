@@ -3,9 +3,9 @@
 Each language has smoothed frequencies of hashed byte n-grams inside words, learned from a bounded,
 documented sample (`most_per_language` documents each). A document is a mixture of languages: by
 expectation-maximisation over its words, whose likelihoods come from their n-grams, it gets language
-proportions. Candidate sets are the best single language and the largest proportions 2, 3, ...; the
-set with the best log likelihood less a penalty per language is chosen, and its largest proportion
-is the prediction.
+proportions. Candidate sets are the best single language and those of the 2, 3, ... largest
+proportions, up to all languages; the set with the best log likelihood less a penalty per language
+is chosen, and its largest proportion is the prediction.
 
 Defined results: null text and text without a letter is `und` with score 0; without any learned
 language everything is `und`; ties go to the language first by code point; null languages are not
@@ -27,7 +27,7 @@ from convolake.llm.common import held_out
 from convolake.llm.kernels import Texts, bracketed, ngrams, texts, trimming
 
 UNKNOWN = "und"
-#: A document whose languages all have less of its words than this is not identified; texts in two or three languages are.
+#: A document whose languages all have less of its words than this is not identified: it is in four languages or more, as one of three has a third at least.
 LEAST_SHARE = 1 / 3
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -95,7 +95,7 @@ class LanguageModel:
         if k > 1:
             pi, _ = em(np.ones((m, k)))
             rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1, kind="stable")
-            for size in range(2, min(k, 3) + 1):
+            for size in range(2, k + 1):
                 share, score = em((rank < size).astype(float))
                 score = score - self.penalty * (size - 1) * np.log(total + 1)
                 better = score > value

@@ -146,3 +146,21 @@ def test_near_dedup_recall_and_counts(spark, vector_rows):
 
 def test_near_dedup_empty(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_four_languages_are_found_and_the_share_counts(spark):
+    kinds = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst"}
+    rows = [(i, prose(kinds[lang], 60), lang) for i, lang in enumerate(list(kinds) * 30)]
+    even = " ".join(prose(kinds[lang], 100) for lang in ("aa", "bb", "cc", "dd"))
+    every = " ".join(prose(letters, 100) for letters in kinds.values())
+    most = prose(kinds["ee"], 200) + " " + " ".join(prose(kinds[lang], 60) for lang in ("aa", "bb", "cc"))
+    three = " ".join(prose(kinds[lang], 100) for lang in ("aa", "bb")) + " " + prose(kinds["cc"], 110)
+    rows += [(900, even, None), (901, every, None), (902, most, None), (903, three, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
+    assert set(got[900].lang_set) == {"aa", "bb", "cc", "dd"} and 0.2 < got[900].score < 0.3
+    assert set(got[901].lang_set) == set(kinds) and 0.15 < got[901].score < 0.25
+    assert set(got[902].lang_set) == {"aa", "bb", "cc", "ee"} and got[902].lang_pred == "ee" and 0.45 < got[902].score < 0.6
+    assert set(got[903].lang_set) == {"aa", "bb", "cc"}
+    kept = {r.doc_id for r in langid.keep_identified(docs).collect()}
+    assert {900, 901}.isdisjoint(kept) and {902, 903} <= kept and len(kept) == len(rows) - 2
