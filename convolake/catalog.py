@@ -69,6 +69,11 @@ def scored(t) -> DataFrame:
     return V.scored(lines(t), responses(t))
 
 
+def scored_all(t) -> DataFrame:
+    """Every conversation with every item of benchmark."""
+    return V.scored_all(lines(t), t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective")))
+
+
 def probabilities(t) -> DataFrame:
     """Rows with a label y, three heads, a session and a group."""
     d = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
@@ -164,62 +169,78 @@ def ordered_lines(t):
 KEYS = list(V.RESPONSE)
 
 
-@query(S.scored("SELECT session_id, objective_id, ord, round(ovl, 6) AS ovl FROM s"))
-def line_overlap_scores(t):
-    return scored(t).select(*KEYS, F.col("ord").cast("long").alias("ord"), "ovl")
+def evidence(rest: str, recursive: bool = False):
+    """Registers a query over scored lines: over two objectives a conversation, and as NAME_x_benchmark over all."""
+
+    def add(f):
+        for suffix, own, sql in (("", scored, S.scored), ("_x_benchmark", scored_all, S.scored_all)):
+
+            def over(t, own=own):
+                return f(own(t))
+
+            over.__name__ = f.__name__ + suffix
+            query(sql(rest, recursive))(over)
+        return f
+
+    return add
+
+
+@evidence("SELECT session_id, objective_id, ord, round(ovl, 6) AS ovl FROM s")
+def line_overlap_scores(s):
+    return s.select(*KEYS, F.col("ord").cast("long").alias("ord"), "ovl")
 
 
-@query(S.scored("SELECT session_id, objective_id, ord, rank FROM anchors"))
-def anchor_topk(t):
-    return V.anchors(scored(t), S.K).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
+@evidence("SELECT session_id, objective_id, ord, rank FROM anchors")
+def anchor_topk(s):
+    return V.anchors(s, S.K).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(S.scored(f"SELECT session_id, objective_id, role, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id, role ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0) WHERE rank <= {S.K}"))
-def anchor_topk_by_role(t):
-    return V.anchors(scored(t), S.K, by_role=True).select(*KEYS, "role", F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
+@evidence(f"SELECT session_id, objective_id, role, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id, role ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0) WHERE rank <= {S.K}")
+def anchor_topk_by_role(s):
+    return V.anchors(s, S.K, by_role=True).select(*KEYS, "role", F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(S.scored("SELECT session_id, objective_id, ord, priority FROM near"))
-def neighbor_expansion(t):
-    return V.neighbours(scored(t), S.K, S.BUDGETS.radius).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("priority").cast("long").alias("priority"))
+@evidence("SELECT session_id, objective_id, ord, priority FROM near")
+def neighbor_expansion(s):
+    return V.neighbours(s, S.K, S.BUDGETS.radius).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("priority").cast("long").alias("priority"))
 
 
-@query(S.scored(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY priority, ord) AS rn, ord, rendered AS text FROM near JOIN s USING (session_id, objective_id, ord)", S.BUDGETS.context, 1, "objective_context"), recursive=True))
-def budget_select_context(t):
-    return V.context(scored(t), S.BUDGETS)
+@evidence(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY priority, ord) AS rn, ord, rendered AS text FROM near JOIN s USING (session_id, objective_id, ord)", S.BUDGETS.context, 1, "objective_context"), recursive=True)
+def budget_select_context(s):
+    return V.context(s, S.BUDGETS)
 
 
-@query(S.scored(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rank, ord) AS rn, ord, rendered AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0 AND role = 'student')" + f" WHERE rank <= {S.K}", S.BUDGETS.role, 1, "role_text"), recursive=True))
-def budget_role_text(t):
-    return V.role_texts(scored(t), S.BUDGETS).where("role = 'student'").drop("role")
+@evidence(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rank, ord) AS rn, ord, rendered AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0 AND role = 'student')" + f" WHERE rank <= {S.K}", S.BUDGETS.role, 1, "role_text"), recursive=True)
+def budget_role_text(s):
+    return V.role_texts(s, S.BUDGETS).where("role = 'student'").drop("role")
 
 
-@query(S.scored(S.EDGES))
-def budget_join_chunks(t):
-    return V.edges(scored(t), S.BUDGETS)
+@evidence(S.EDGES)
+def budget_join_chunks(s):
+    return V.edges(s, S.BUDGETS)
 
 
-@query(S.scored(S.windows("qa") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win"))
-def qa_windows(t):
-    return V.windows(scored(t), S.BUDGETS.max_gap, "qa").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+@evidence(S.windows("qa") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win")
+def qa_windows(s):
+    return V.windows(s, S.BUDGETS.max_gap, "qa").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
 
 
-@query(S.scored(S.windows("feedback") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win"))
-def feedback_windows(t):
-    return V.windows(scored(t), S.BUDGETS.max_gap, "feedback").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+@evidence(S.windows("feedback") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win")
+def feedback_windows(s):
+    return V.windows(s, S.BUDGETS.max_gap, "feedback").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
 
 
-@query(S.scored(S.windows("feedback") + S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY score DESC, start, text) AS rn, start AS ord, text FROM win", S.BUDGETS.window, 2, "windows_text"), recursive=True))
-def budget_windows(t):
-    return V.select_windows(V.windows(scored(t), S.BUDGETS.max_gap, "feedback"), S.BUDGETS.window)
+@evidence(S.windows("feedback") + S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY score DESC, start, text) AS rn, start AS ord, text FROM win", S.BUDGETS.window, 2, "windows_text"), recursive=True)
+def budget_windows(s):
+    return V.select_windows(V.windows(s, S.BUDGETS.max_gap, "feedback"), S.BUDGETS.window)
 
 
 # ---- dense features --------------------------------------------------------------------------
 
 
-@query(S.scored(S.DENSE_MATCH))
-def dense_match(t):
-    return D.match_features(scored(t))
+@evidence(S.DENSE_MATCH)
+def dense_match(s):
+    return D.match_features(s)
 
 
 @query(S.lines(S.DENSE_VOLUME))
@@ -241,7 +262,7 @@ def dense_deltas(t):
 
 @query()
 def dense_all(t):
-    return D.dense_features(scored(t), S.BUDGETS)
+    return D.dense_features(scored_all(t), S.BUDGETS)
 
 
 # ---- action graph ----------------------------------------------------------------------------

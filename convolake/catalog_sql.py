@@ -94,6 +94,16 @@ def scored(rest: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{SCORED} {rest}"
 
 
+_PAIRED = "unnest([conv_id % 40, (conv_id + 7) % 40]) AS objective_id FROM conversations"
+assert _PAIRED in SCORED
+#: The same over every conversation with every item of benchmark.
+SCORED_ALL = SCORED.replace(_PAIRED, "item_id AS objective_id FROM conversations, benchmark")
+
+
+def scored_all(rest: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{SCORED_ALL} {rest}"
+
+
 def greedy(items: str, budget: int, separator: int, name: str) -> str:
     return f""", items AS ({items}), g AS (
   SELECT DISTINCT session_id, objective_id, 0::BIGINT AS rn, 0::BIGINT AS used, []::STRUCT(ord BIGINT, text VARCHAR)[] AS sel, NULL::VARCHAR AS done FROM items

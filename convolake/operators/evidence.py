@@ -37,6 +37,11 @@ def scored(lines: DataFrame, responses: DataFrame) -> DataFrame:
     return conditioned(lines, responses).withColumn("ovl", overlap(F.col("toks"), F.col("obj")))
 
 
+def scored_all(lines: DataFrame, objectives: DataFrame) -> DataFrame:
+    """Lines of every session scored for every objective; objectives: objective_id, objective."""
+    return lines.crossJoin(objectives.withColumn("obj", objective_tokens(F.col("objective")))).withColumn("ovl", overlap(F.col("toks"), F.col("obj")))
+
+
 def anchors(s: DataFrame, k: int, by_role: bool = False) -> DataFrame:
     """The k best lines of positive overlap of each response (and role), ties to the earlier line."""
     keys = [*RESPONSE, "role"] if by_role else list(RESPONSE)
