@@ -354,6 +354,11 @@ def distinct_pairs(t):
     return t("conversations").select("role", F.substring("text", 1, 8).alias("head")).distinct()
 
 
+@query("SELECT DISTINCT role, text FROM conversations")
+def distinct_role_texts(t):
+    return t("conversations").select("role", "text").distinct()
+
+
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_difference(t):
     return t("customer").select("c_custkey").subtract(t("orders").select("o_custkey"))

@@ -36,3 +36,10 @@ def test_every_objective_is_scored(spark, many_items, name):
 def test_dense_features_of_every_objective(spark, many_items):
     got = catalog.queries()["dense_all"](spark, many_items).select("session_id", "objective_id").toPandas()
     assert len(got) == len(got.drop_duplicates()) == 20 * 200
+
+
+def test_texts_that_begin_alike_stay_apart(spark, tmp_path):
+    texts = [("user", "the same start, one end"), ("user", "the same start, another"), ("system", "the same start, one end"), ("user", "the same start, one end"), ("user", None)]
+    spark.createDataFrame([(i, 0, r, t) for i, (r, t) in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in catalog.queries()["distinct_role_texts"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(set(texts), key=str)
