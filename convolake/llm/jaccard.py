@@ -4,17 +4,22 @@ The overlap matrix is the product of the sparse document by shingle incidence ma
 transpose. Only blocks of it can hold links. Sizes bound which documents may link at all: with
 threshold t their sizes differ by 1/t at most and their sets by d = (n1 + n2)(1 - t)/(1 + t) shingles.
 The shingles are dealt into m > d column blocks by their hashes, so two linked documents agree on
-whole blocks - m - d of them at least. A document's part of a block (of two blocks, where d is
-small) is hashed to a key; documents that share no key can't link. Block keys span several shingles, so frequent
-words, lines and passages alone make no candidates, whatever their counts. A parity sketch of each set
-(bit h is the parity of its shingles that hash to h) differs in no more bits than the sets differ in
-shingles, so pairs whose sketches differ in more than d bits are discarded before any set moves. The
-overlap counts of the remaining pairs are then accumulated over all shingles, and pairs under the
-bound are discarded.
-
-Documents with equal sets are one node. Within a key's group, all are first compared with the
-smallest node; only groups that still hold several components are compared pair by pair, across
-components alone. No link is lost: pairs skipped are in one component already.
+whole blocks - all but d of those in which the smaller one has shingles. A document's part of a block
+(of two blocks, where d is small) is hashed to a key; documents that share no key can't link. Block
+keys span several shingles and empty blocks make none, so frequent words, lines and passages alone
+make no candidates, whatever their counts. A parity sketch of each set (bit h is the parity of its
+shingles that hash to h) differs in no more bits than the sets differ in shingles, so pairs whose
+sketches differ in more than d bits are discarded before any set moves. The overlap counts of the
+remaining pairs are then accumulated over all shingles, and pairs under the bound are discarded.
+
+So the product is formed only where a block's rows are equal; overlaps are counted per candidate pair
+and not summed over all columns, whose frequent ones would make pairs with the square of their counts.
+
+Documents with equal sets are one node. Each run of documents groups its own keys first and sends one
+row a key, so a key of many documents is a row a run; the keys are shuffled once, and scanned in order
+with one row of memory. Within a group, members are first compared with one of them; only groups that
+still hold several components are compared pair by pair, across components alone. No link is lost:
+pairs skipped are in one component already.
 
 Defined results: null text, or text without words, has no shingles and links with nothing; fewer
 words than `words` are one shingle; repeated rows are copies; a row whose id is null belongs to its
@@ -39,7 +44,9 @@ from convolake.llm.kernels import Texts, mix, texts, trimming
 
 _K = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)]
 #: Up to this many differing shingles, keys span two blocks.
-PAIRED = 8
+PAIRED = 3
+#: A set whose shingles fall into too few blocks is dealt anew up to this often.
+DEALS = 6
 #: Ids of documents to read again are broadcast up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 SKETCH_LONGS = 8
@@ -49,21 +56,22 @@ SKETCH_LONGS = 8
 def size_classes(percent: int) -> tuple[tuple[int, int, int], ...]:
     """(least size, blocks m, most differing shingles d) of each size class.
 
-    A document and the larger ones it may link with are in its class or the next; d is that of the
-    largest pair whose smaller document is in the class.
+    The larger document of a linked pair is in the smaller one's class or the next; d is that of the
+    largest pair whose smaller document is in the class. Classes of larger sets are wider, so that
+    fewer documents are in reach of two.
     """
     out, least = [], 1
     while least < 1 << 40:
         after = least * 100 // percent + 1
+        if least >= 64:
+            after = after * 100 // percent + 1
         small = after - 1
         d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-        if d <= PAIRED:
-            m = d + 2
-        else:  # room for blocks that are empty by chance
-            m = d + 2
-            for _ in range(4):
-                empty = m * math.exp(-least / m)
-                m = d + 1 + math.ceil(empty + 4 * math.sqrt(empty) + 1)
+        need = d + (2 if d <= PAIRED else 1)
+        m = need
+        for _ in range(30):  # room for blocks that are empty by chance, up to two deviations
+            empty = m * math.exp(-least / m)
+            m = min(need + math.ceil(empty + 2 * math.sqrt(empty)), max(need, 16 if d <= PAIRED else 4 * least))
         out.append((least, m, d))
         least = after
     return tuple(out)
@@ -130,44 +138,99 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def block_keys(s: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set's blocks, and the set of each key."""
+    """Keys of each set's blocks, and the set of each key.
+
+    Only blocks that hold shingles make keys. A set that has some in more than d blocks (d + 1 where keys span
+    two) shares a key with every set it may link with, as a differing shingle changes one block. Other sets are
+    dealt anew, so of two sets the one that is done first settles the pair; sets that are never done share a key.
+    """
     classes = size_classes(percent)
     least = np.array([c[0] for c in classes])
     sizes = np.diff(offsets)
     own = np.searchsorted(least, sizes, side="right") - 1
+    below = (own > 0) & (-(-sizes * percent // 100) < least[np.maximum(own, 0)])  # partners in the class before
     code = mix(s ^ _K[2])
-    high = s >> np.uint64(32)
     keys, owners = [], []
-    for c in np.unique(np.concatenate([own[sizes > 0], own[own > 0] - 1])):
+    for c in np.unique(np.concatenate([own[sizes > 0], own[below] - 1])):
         _, m, d = classes[c]
         if d == 0:  # these link only when equal
             continue
-        docs = np.flatnonzero((sizes > 0) & ((own == c) | (own == c + 1)))
-        size = sizes[docs]
-        row = np.repeat(np.arange(len(docs)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[docs], size)
-        cell = row * m + ((high[at] * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # ascends, as s does
-        begin = np.flatnonzero(np.diff(cell, prepend=-1))
-        part = np.zeros(len(docs) * m, np.uint64)
-        part[cell[begin]] = np.add.reduceat(code[at], begin)
-        part = part.reshape(len(docs), m)
-        salt = _times(c + 1, 3)
-        if d <= PAIRED:
-            for i in range(m):
-                for j in range(i + 1, m):
-                    keys.append(mix(mix(part[:, i] + _times(i, 4)) * _K[0] + part[:, j] + _times(j, 1) + salt))
-                    owners.append(docs)
+        docs = np.flatnonzero((sizes > 0) & ((own == c) | (below & (own == c + 1))))
+        for deal in range(DEALS):
+            size = sizes[docs]
+            row = np.repeat(np.arange(len(docs)), size)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[docs], size)
+            high = s[at] >> np.uint64(32) if deal == 0 else mix(s[at] ^ _times(deal, 2)) >> np.uint64(32)
+            cell = row * m + ((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+            if deal:
+                order = np.argsort(cell, kind="stable")
+                at, cell = at[order], cell[order]
+            begin = np.flatnonzero(np.diff(cell, prepend=-1))  # ascends in the first deal, as s does
+            block = cell[begin]
+            who, block = block // m, block % m
+            part = mix(np.add.reduceat(code[at], begin) + (block.astype(np.uint64) + np.uint64(1)) * _K[4] + _times(c * DEALS + deal + 1, 3))
+            many = np.bincount(who, minlength=len(docs))
+            if d <= PAIRED:
+                first = np.cumsum(many) - many
+                for i in range(1, int(many.max())):  # a block and the i-th after it
+                    x = np.flatnonzero(np.arange(len(who)) - first[who] + i < many[who])
+                    keys.append(mix(part[x] * _K[0] + part[x + i]))
+                    owners.append(docs[who[x]])
+            else:
+                keys.append(part)
+                owners.append(docs[who])
+            docs = docs[many < d + (2 if d <= PAIRED else 1)]
+            if not len(docs):
+                break
         else:
-            some = part != 0
-            some |= ((~some).sum(1) >= m - d)[:, None]  # all blocks they share may be empty ones
-            found = mix(part + (np.arange(m, dtype=np.uint64) + np.uint64(1)) * _K[4] + salt)
-            keys.append(found[some])
-            owners.append(np.repeat(docs, m).reshape(len(docs), m)[some])
+            keys.append(np.full(len(docs), mix(np.array([_times(c + 1, 1)]))[0]))
+            owners.append(docs)
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
+def local_groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, smallest id) of every key, and where in (keys, ids) those of several ids are, with their smallest id."""
+    order = np.lexsort((ids, keys))
+    k, i = keys[order], ids[order]
+    begin = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, np.int64)
+    run = np.diff(np.append(begin, len(k)))
+    several = np.repeat(i[begin] != i[begin + run - 1], run)
+    return k[begin], i[begin], order[several], np.repeat(i[begin], run)[several]
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (p, id, lo, key) in the order of p; gives (key, id, lo), lo one member of the key's group.
+
+    Rows with lo are in a group already. The others are grouped by p, without those that are alone.
+    Only the last row is remembered from one batch to the next, so groups of any size stream through.
+    """
+    before_p = before_id = np.zeros(0, np.int64)
+    lo_now, told = 0, False
+    for batch in batches:
+        p, ids = (batch.column(i).to_numpy() for i in (0, 1))
+        done = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        grouped = [batch.column(i).filter(pa.array(done)) for i in (3, 1, 2)]
+        p, ids = p[~done], ids[~done]
+        key, member, lo = (np.zeros(0, np.int64),) * 3
+        if len(p):
+            p, ids = np.concatenate([before_p, p]), np.concatenate([before_id, ids])
+            begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            size = np.diff(np.append(begin, len(p)))
+            first = ids[begin]
+            if len(before_p) and told:
+                first[0] = lo_now  # the group goes on
+            low = np.repeat(first, size)
+            several = np.repeat(size > 1, size)
+            if len(before_p) and told:
+                several[0] = False  # has been given
+            key, member, lo = p[several], ids[several], low[several]
+            told = bool(size[-1] > 1 or (len(begin) == 1 and len(before_p) and told))
+            lo_now, before_p, before_id = first[-1], p[-1:], ids[-1:]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y)]) for x, y in zip(grouped, (key, member, lo), strict=True)], names=["key", "id", "lo"])
+
+
 def _rows(docs: DataFrame, make, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimming(batches):
@@ -210,14 +273,17 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
 
     def keyed(ids: pa.Array, t: Texts) -> list[pa.Array]:
         keys, owners = block_keys(*shingle_sets(t, words), percent)
-        return [pa.array(keys), ids.take(pa.array(owners))]
-
-    key_schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
+        own = ids.to_numpy()[owners]
+        key, low, at, lo = local_groups(keys, own)
+        none = pa.nulls(len(key), pa.int64())
+        # what a run of documents groups by itself needs no other: it is dealt by key and id, so a hot key's rows are spread
+        alone = mix(keys[at].view(np.uint64) ^ mix(own[at].view(np.uint64))).view(np.int64)
+        return [pa.array(np.concatenate([key, alone])), pa.array(np.concatenate([low, own[at]])), pa.concat_arrays([none, pa.array(lo)]), pa.concat_arrays([none, pa.array(keys[at])])]
+
+    key_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("p", "id", "lo", "key")])
     keys = _rows(single.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keyed, key_schema)
-    # ranges are pre-aggregated and joined back: a window would put all rows of a hot key into one task, a join is split.
-    # Keys are made twice rather than written: the aggregation's tasks then stay as small as the texts' splits
-    ranges = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo"), "ranges")
-    shared = materialize(keys.join(ranges, "key").select("key", "id", "lo"), "shared")
+    # a hot key has one row for each run of documents here, and the scan holds one row at a time
+    shared = materialize(keys.repartition("p").sortWithinPartitions("p").mapInArrow(shared_keys, "key long, id long, lo long"), "shared")
 
     def side(name: str) -> DataFrame:
         return reps.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), *[F.col(f"q{i}").alias(f"{name}{i}") for i in range(SKETCH_LONGS)])
@@ -243,16 +309,15 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
         # repeated rows of one id repeat links; distinct follows the table, as within its plan it would keep a hot id's join from being split
         return materialize(linked, f"{name}-links").distinct()
 
-    star = shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    star = shared.where("id <> lo").select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "na", "nb")
     links = verified(star, "star")
     comp = connected_components(links.select("a", "b"), "first")
-    labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component"))
+    labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled, "labelled")
     several = materialize(labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key"), "several")
-    labelled = labelled.join(several, "key", "left_semi")
-    # a pair with a group's smallest node has been compared
-    x = labelled.where("id <> lo").select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(side("a"), "a")
+    labelled = labelled.join(several, "key", "left_semi").distinct()
+    x = labelled.select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(side("a"), "a")
     y = labelled.select("key", F.col("id").alias("b"), F.col("component").alias("cb")).join(side("b"), "b")
     across = x.join(y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
     links = links.unionByName(verified(across.select("a", "b", "na", "nb").distinct(), "across"))

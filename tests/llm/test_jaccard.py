@@ -78,3 +78,38 @@ def test_no_link_is_lost():
 
 def test_empty(no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0
+
+
+def test_short_sets_make_no_hot_keys():
+    """Unrelated sets of a few shingles share next to no keys, and sets whose shingles fall into one block still link."""
+    rng = np.random.default_rng(4)
+    for n in (4, 5, 8, 12, 20):
+        s = np.sort(rng.integers(0, 1 << 63, (20_000, n)).astype(np.uint64), axis=1)
+        keys, _ = jaccard.block_keys(s.ravel(), np.arange(20_001) * n, 80)
+        assert np.unique(keys, return_counts=True)[1].max() <= 3
+    low = np.arange(1, 6, dtype=np.uint64)  # upper halves are 0, so the first deal puts all into one block
+    keys, owner = jaccard.block_keys(np.concatenate([low[:4], low]), np.array([0, 4, 9]), 80)
+    assert set(keys[owner == 0]) & set(keys[owner == 1])
+
+
+def test_scan_of_keys_gives_each_group_once():
+    """Groups within and across batches, and rows that are grouped already."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    p = np.sort(rng.integers(0, 300, 1000))
+    p[400:700] = p[400]  # over many batches
+    p.sort()
+    ids = np.arange(1000)
+    done = rng.random(1000) < 0.2
+    table = pa.RecordBatch.from_arrays([pa.array(p), pa.array(ids), pa.array(ids, mask=~done), pa.array(ids, mask=~done)], names=["p", "id", "lo", "key"])
+    for size in (1, 3, 64, 2000):
+        out = [r for b in jaccard.shared_keys(table.slice(i, size) for i in range(0, 1000, size)) for r in b.to_pylist()]
+        assert sorted(r["id"] for r in out if r["key"] == r["id"] == r["lo"] and done[r["id"]]) == ids[done].tolist()
+        rest = [r for r in out if not done[r["id"]]]
+        want = {k: set(ids[(p == k) & ~done].tolist()) for k in np.unique(p)}
+        got = {}
+        for r in rest:
+            got.setdefault(r["key"], []).append(r)
+        assert {k: {r["id"] for r in v} for k, v in got.items()} == {k: v for k, v in want.items() if len(v) > 1}
+        assert all(len(v) == len(want[k]) and {r["lo"] for r in v} == {min(want[k])} for k, v in got.items())
