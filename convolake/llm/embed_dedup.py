@@ -4,15 +4,22 @@ A rotation of the centred vectors is learned, by alternating binary codes and an
 Procrustes step, on a bounded sample (`sample_rows` vectors, the first by a hash of the id), so that
 the signs of the rotated vectors are balanced codes of up to 64 bits. Every vector is indexed in one
 table per substring of its code; a search looks up its own substring and all within `radius` bits.
+The layout (four tables, radius 1) is the same at every size, a parameter beyond.
 A pair is kept at the first table that finds it, if its codes are close enough, and is reranked with
 the original vectors in double precision; only pairs of cosine >= threshold link.
 
+The search is approximate: linked vectors whose codes differ in more than `radius` bits of every
+substring are not found. With `exact`, candidates come from a grid instead: linked unit vectors are at
+most sqrt(2 - 2 threshold) apart, so on the first principal axes they lie in the same or in
+neighbouring cells of that width; every link is found, at the price of more candidates.
+
 Equal vectors are one node with a count, so a vector that is very common costs no pairs. What is
 broadcast is the rotation (64 x 64) and nothing that grows.
 
 Defined results: a vector that is null, zero, of null or non-finite components, or of another length
 than most vectors, links with nothing and keeps itself; repeated rows are other vectors, linked; an empty table gives
-an empty result; other columns are ignored. A null id gets a null component.
+an empty result; other columns are ignored. A null id gets a null component. Ids are expected to belong
+to one vector each; where one has several, its rows get the most links and the smallest component.
 """
 
 from __future__ import annotations
@@ -30,6 +37,10 @@ from convolake.llm.common import connected_components, materialize
 from convolake.llm.kernels import mix
 
 
+#: Principal axes of the exact search's grid.
+GRID_AXES = 4
+
+
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): signs of (x - mean) @ projection are the code."""
     mean = sample.mean(0)
@@ -44,25 +55,27 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 40, seed: int =
     return mean, axes @ rotation
 
 
-def tables_for(n: int, bits: int) -> tuple[list[tuple[int, int]], int]:
-    """(shift, width) of each table and the radius: wider substrings once 16 bits would crowd."""
-    count, radius = (4, 1) if n <= 1 << 22 else (3, 2)
-    edges = np.linspace(0, bits, count + 1).round().astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:], strict=False) if b > a], radius
+def tables_for(bits: int, tables: int) -> list[tuple[int, int]]:
+    """(shift, width) of each table's substring of the code."""
+    edges = np.linspace(0, bits, tables + 1).round().astype(int)
+    return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
 def probes(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int = 20_000, most_bits: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): vec_id, rep, copies of each good row; and a, b, cosine of linked representatives, a < b."""
+def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int = 20_000, most_bits: int = 24, tables: int = 4, radius: int = 1, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): vec_id, rep, copies of each good row; and a, b, cosine of linked representatives, a < b.
+
+    exact: candidates come from a grid instead of the tables, and no link is lost.
+    """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim, total = (sizes[0][0], sizes[0][1]) if sizes else (1, 0)
+    dim = sizes[0][0] if sizes else 1
     v = v.where(F.size("embedding") == dim)
     bits = min(64, dim)
     first = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()["embedding"]
@@ -70,9 +83,17 @@ def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int
         x = np.stack([np.asarray(e, float) for e in first])
         scale = np.abs(x).max(1, keepdims=True)
         x = x / scale
-        mean, projection = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        mean, projection = learn_rotation(x, bits)
+        axes = np.linalg.svd(np.cov(x.T).reshape(dim, dim))[0][:, :GRID_AXES] if len(x) > 1 else np.eye(dim)[:, :GRID_AXES]
     else:
-        mean, projection = np.zeros(dim), np.zeros((dim, bits))
+        mean, projection, axes = np.zeros(dim), np.zeros((dim, bits)), np.eye(dim)[:, :GRID_AXES]
+    width = float(np.sqrt(max(2 - 2 * threshold, 0.0))) + 1e-6
+
+    def cells(unit: np.ndarray) -> list[pa.Array]:
+        at = np.floor(unit @ axes / width).astype(np.int64)
+        at = np.concatenate([at, np.zeros((len(at), GRID_AXES - at.shape[1]), np.int64)], 1)
+        return [pa.array(np.ascontiguousarray(at[:, i])) for i in range(GRID_AXES)]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,15 +105,15 @@ def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int
             unit = x / np.abs(x).max(1, keepdims=True)
             unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
             code = ((unit - mean) @ projection >= 0) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(s) for s in signs], pa.array(code.astype(np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dim).cast(pa.list_(pa.float64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(s) for s in signs], pa.array(code.astype(np.uint64).view(np.int64)), *cells(unit), pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dim).cast(pa.list_(pa.float64()))], names=schema.names)
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("vec_id", "s1", "s2", "code")] + [T.StructField("unit", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("vec_id", "s1", "s2", "code", *(f"g{i}" for i in range(GRID_AXES)))] + [T.StructField("unit", T.ArrayType(T.DoubleType()))])
     rows = materialize(v.mapInArrow(coded, schema), "codes")
-    groups = rows.groupBy("s1", "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("code").alias("code"))
+    groups = rows.groupBy("s1", "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("code").alias("code"), *[F.first(f"g{i}").alias(f"g{i}") for i in range(GRID_AXES)])
     groups = materialize(groups, "groups")
-    nodes = rows.select("vec_id", "s1", "s2").join(groups.drop("code"), ["s1", "s2"]).select("vec_id", "rep", "copies")
+    nodes = rows.select("vec_id", "s1", "s2").join(groups.select("s1", "s2", "rep", "copies"), ["s1", "s2"]).select("vec_id", "rep", "copies")
 
-    tables, radius = tables_for(total, bits)
+    tables = tables_for(bits, tables)
     own = lambda code, shift, width: F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
     index = groups.select("rep", "code", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), own(F.col("code"), *part).alias("key")) for t, part in enumerate(tables)])).alias("at")).select(F.col("rep").alias("b"), F.col("code").alias("cb"), "at.*")
     probe = groups.select("rep", "code", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), own(F.col("code"), *part).alias("sub"), F.array(*[F.lit(p).cast("long") for p in probes(part[1], radius)]).alias("flips")) for t, part in enumerate(tables)])).alias("at"))
@@ -103,6 +124,13 @@ def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int
         earlier = earlier & ((F.col("p.t") <= t) | (F.bit_count(own(differ, *part)) > radius))
     pairs = probe.alias("p").join(index.alias("i"), (F.col("p.t") == F.col("i.t")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= most_bits) & earlier).select("a", "b")
 
+    if exact:
+        names = [f"g{i}" for i in range(GRID_AXES)]
+        around = groups.select(F.col("rep").alias("a"), *names)
+        for name in names:  # 3 ** GRID_AXES cells a vector
+            around = around.withColumn(name, F.explode(F.array(*[F.col(name) + i for i in (-1, 0, 1)])))
+        pairs = around.join(groups.select(F.col("rep").alias("b"), *names), names).where("a < b").select("a", "b")
+
     reps = rows.join(groups.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"]).select("vec_id", "unit")
     reps = materialize(reps, "units")
     both = pairs.join(reps.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua")), "a").join(reps.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub")), "b")
@@ -126,7 +154,7 @@ def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
     many = ends.join(reps.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
     comp = connected_components(links.select("a", "b"), "near")
     per = reps.join(many, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    known = nodes.join(per, "rep").groupBy("vec_id").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+    known = nodes.join(per, "rep").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     out = vectors.select(F.col("vec_id"), F.size("embedding").alias("_size"), F.col("embedding").cast("array<double>").alias("_e"))
     good = F.coalesce(F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_e", lambda x: x != 0), F.lit(False))
     out = out.select("vec_id", good.alias("_good")).join(known.withColumnRenamed("vec_id", "_id"), F.col("vec_id") == F.col("_id"), "left")

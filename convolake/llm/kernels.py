@@ -148,6 +148,21 @@ def ngrams(words: Texts, lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np
     return np.concatenate(found).astype(np.int64), np.concatenate(owner)
 
 
+def character_ngrams(words: Texts, lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of each text's characters (code points), lo <= n <= hi: the bucket and the text of each."""
+    begin = np.append(np.flatnonzero((words.data & 0xC0) != 0x80), len(words.data))
+    first = np.searchsorted(begin, words.offsets)
+    size = np.diff(first)
+    found, owner = [], []
+    for n in range(lo, hi + 1):
+        many = np.maximum(size - n + 1, 0)
+        who = np.repeat(np.arange(len(size)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[:-1][who]
+        found.append((words.hashes(begin[at], begin[at + n]) >> np.uint64(20)) % np.uint64(buckets))
+        owner.append(who)
+    return np.concatenate(found).astype(np.int64), np.concatenate(owner)
+
+
 def bracketed(t: Texts, starts: np.ndarray, ends: np.ndarray) -> Texts:
     """The byte ranges as texts of their own, each between `<` and `>`."""
     size = ends - starts + 2

@@ -7,6 +7,10 @@ proportions. Candidate sets are the best single language and those of the 2, 3,
 proportions, up to all languages; the set with the best log likelihood less a penalty per language
 is chosen, and its largest proportion is the prediction.
 
+`keep_identified` is the filter: it keeps documents in which one language has a share of their words,
+and whose n-grams some language makes likelier than chance does (every n-gram bucket alike); text in
+a language that was not learned, or noise, is not. What it keeps carries the predicted language.
+
 Defined results: null text and text without a letter is `und` with score 0; without any learned
 language everything is `und`; ties go to the language first by code point; null languages are not
 learned from; repeated rows are predicted alike; only doc_id and text are read for a prediction.
@@ -62,12 +66,19 @@ class LanguageModel:
 
     def proportions(self, t: Texts) -> np.ndarray:
         """texts x languages: the proportions within the chosen set, 0 outside; all 0 without letters."""
+        return self.judge(t)[0]
+
+    def judge(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The proportions, and each text's log likelihood (each word in its likeliest language) above that of chance."""
         k, n = len(self.languages), len(t)
         bucket, word, which, where, words = _word_grams(t.lowered(), len(self.logp), self.lo, self.hi)
-        out = np.zeros((n, k))
+        out, above = np.zeros((n, k)), np.zeros(n)
         if not words or not k:
-            return out
-        each = np.stack([np.bincount(word, self.logp[bucket, j], words) for j in range(k)], 1) * self.temper
+            return out, above
+        each = np.stack([np.bincount(word, self.logp[bucket, j], words) for j in range(k)], 1)
+        excess = each.max(1) + np.bincount(word, minlength=words) * np.log(len(self.logp))
+        above = np.bincount(where, excess[which], n)
+        each *= self.temper
         top = each.max(1, keepdims=True)
         each = np.exp(np.maximum(each - top, -60.0))  # relative likelihoods of distinct words
         # equal words of a text are one row with a count
@@ -101,7 +112,7 @@ class LanguageModel:
                 better = score > value
                 best[better], value[better] = share[better], score[better]
         out[texts_in] = best
-        return out
+        return out, above
 
 
 def fit(sample: list[tuple[str, str]], *, buckets: int = 1 << 16, lo: int = 2, hi: int = 4, smoothing: float = 0.5) -> LanguageModel:
@@ -124,8 +135,9 @@ def training_sample(docs: DataFrame, most_per_language: int) -> list[tuple[str,
     share = F.lit(0.0)
     for lang, n in sorted(many.items()):
         share = F.when(F.col("lang") == lang, min(1.0, most_per_language / n)).otherwise(share)
-    u = (F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003
-    rows = own.where(u < share * 1_000_003).select("doc_id", "text", "lang").collect()
+    # the share is drawn by the row, so rows repeated under one id are not chosen together; the limit bounds what is collected
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
+    rows = own.where(u < share * 1_000_003).select("doc_id", "text", "lang").limit(2 * most_per_language * max(1, len(many))).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2]))]
 
 
@@ -158,20 +170,25 @@ def identify_languages(docs: DataFrame, *, most_per_language: int = 1500, **fitt
 
 
 def keep_identified(docs: DataFrame, *, least_share: float = LEAST_SHARE, most_per_language: int = 1500, **fitting) -> DataFrame:
-    """docs' rows and columns, without those that are `und` or have no language of least_share of their words.
+    """docs' rows and columns, without those that are `und`, have no language of least_share of their words, or are no likelier than chance.
 
-    Rows are judged in place, so nothing is shuffled.
+    lang becomes the predicted language. Rows are judged in place, so nothing is shuffled.
     """
     model = fit(training_sample(docs, most_per_language), **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages x 8 bytes
-    names, place = docs.columns, docs.columns.index("text")
+    names, place, lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        languages = np.array([*own.languages, UNKNOWN], object)
         for batch in trimming(batches):
             letters = batch.column(len(names)).to_numpy(zero_copy_only=False)
             for lo, hi, t in texts(batch.column(place), 1 << 20):
-                keep = (own.proportions(t).max(1, initial=0.0) >= least_share) & letters[lo:hi]
-                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).filter(pa.array(keep)) for c in batch.columns[: len(names)]], names=names)
+                pi, above = own.judge(t)
+                keep = (pi.max(1, initial=0.0) >= least_share) & (above >= 0) & letters[lo:hi]
+                columns = [c.slice(lo, hi - lo) for c in batch.columns[: len(names)]]
+                if pi.shape[1]:
+                    columns[lang] = pa.array(languages[pi.argmax(1)], pa.string())
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], names=names)
 
     return docs.select("*", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters")).mapInArrow(judged, docs.schema)

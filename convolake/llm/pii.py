@@ -1,13 +1,17 @@
 """Personal data by candidate generation and boosted trees, in DataFrame functions only.
 
 Generators with high recall propose spans that may overlap: the four base patterns, also where the
-base checks fail, e-mail addresses spelt with "at" and "dot", and telephone numbers without a country
-code. Every candidate gets format features (digits, separators, checksum, octets, grouping) and
-context features (what stands before and after it), and boosted trees score it. The trees are
-trained on candidates generated here from templates with a fixed seed, and the threshold of each kind
-is calibrated on others so that at least `precision` of what passes is personal. A base match that passes its
-own check is always kept; other candidates are added if they reach their kind's threshold and touch
-no base span and no better candidate.
+base checks fail, e-mail addresses spelt with "at" and "dot" (parts of at most 64 characters, as in
+addresses), and telephone numbers without a country code. Every candidate gets format features
+(digits, separators, checksum, octets, grouping) and context features (what stands before and after
+it), and boosted trees score it. The trees are trained on candidates cut from strings written by
+templates with a fixed seed, and the threshold of each kind is calibrated on the candidates of other
+strings that fail the base checks, so that at least `precision` of what passes is personal. A base
+match that passes its own check is always kept; other candidates are added if they reach their kind's
+threshold and touch no base span and no better candidate that was added.
+
+Work grows in proportion to the text: places are running sums, and only spans that overlap are
+compared.
 
 The trees run as CASE expressions. Texts without a digit or a spelt "at" never reach the generators.
 
@@ -18,6 +22,7 @@ Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,6 +52,15 @@ ANTI_CUES = r"(?:order|invoice|ref|reference|id|isbn|issn|serial|version|ver|ite
 TLDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
 
 
+#: Values that are appended to one array, and code points of a block of text.
+RUN, BLOCK = 64, 4096
+
+SEPARATOR = r"[\x20().-]"
+GROUPED = r"^(?:[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,3})$"
+GLUED_BEFORE, GLUED_AFTER = r"[\p{L}0-9#_/=-]$", r"^[\p{L}0-9_/=%-]"
+SPELT_TLD = rf"(?:dot|\.)\W{{0,2}}(?:{'|'.join(TLDS)})$"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -66,21 +80,39 @@ def _octets(match: Column) -> Column:
     return F.forall(F.split(match, "\\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=.)", "")) <= 3) & F.forall(F.split(match, "\\."), lambda p: F.lpad(F.right(p, F.lit(3)), 3, "0") <= "255")
 
 
+def running(values: Column, join) -> Column:
+    """For each of an array of longs, what join makes of 0 and the values before it; then that of all.
+
+    Arrays can only be appended to by a copy, so runs of RUN values are joined first, and then the runs.
+    """
+    zero = F.array(F.lit(0).cast("bigint"))
+
+    def grown(a: Column) -> Column:
+        return F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+    def joined(runs: Column) -> Column:
+        ends = grown(F.transform(runs, lambda r: F.element_at(r, -1)))
+        inner = let(ends, lambda e: F.flatten(F.transform(runs, lambda r, i: F.transform(F.slice(r, 1, F.size(r) - 1), lambda x: join(F.get(e, i), x)))))
+        return F.concat(inner, F.array(F.element_at(ends, -1)))
+
+    def cut(v: Column) -> Column:
+        many = F.ceil(F.size(v) / RUN).cast("int")
+        return F.when(F.size(v) > 0, let(F.transform(F.sequence(F.lit(0), many - 1), lambda i: grown(F.slice(v, i * RUN + 1, F.lit(RUN)))), joined)).otherwise(zero)
+
+    return let(values, cut)
+
+
 def scan(text: Column, pattern: str, kind: str, form: int) -> Column:
     """All matches of a pattern as structs of kind, form, start, end, match, before and after."""
+    empty = F.expr("cast(array() as array<struct<kind:int,form:int,start:bigint,end:bigint,match:string,before:string,after:string>>)")
 
     def spans(gaps: Column, hits: Column) -> Column:
-        empty = F.expr("cast(array() as array<struct<kind:int,form:int,start:bigint,end:bigint,match:string,before:string,after:string>>)")
+        def one(hit: Column, i: Column, passed: Column) -> Column:
+            start = F.get(passed, i) + F.length(F.get(gaps, i))
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(form).alias("form"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("match"), F.lower(F.right(F.get(gaps, i), F.lit(24))).alias("before"), F.left(F.get(gaps, i + 1), F.lit(4)).alias("after"))
 
-        def step(acc: Column, i: Column) -> Column:
-            gap, hit = F.element_at(gaps, i), F.element_at(hits, i)
-            start = acc["pos"] + F.length(gap)
-            end = start + F.length(hit)
-            one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(form).alias("form"), start.alias("start"), end.alias("end"), hit.alias("match"), F.lower(F.right(gap, F.lit(24))).alias("before"), F.left(F.element_at(gaps, i + 1), F.lit(4)).alias("after"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        first = F.struct(F.lit(0).cast("bigint").alias("pos"), empty.alias("out"))
-        return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(1), F.size(hits)), first, step)["out"]).otherwise(empty)
+        sizes = F.transform(hits, lambda h, i: (F.length(F.get(gaps, i)) + F.length(h)).cast("bigint"))
+        return F.when(F.size(hits) > 0, let(running(sizes, lambda x, y: x + y), lambda passed: F.transform(hits, lambda h, i: one(h, i, passed)))).otherwise(empty)
 
     return let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: spans(gaps, hits)))
 
@@ -94,19 +126,64 @@ def features(c: Column) -> list[Column]:
         c["kind"].cast("double"),
         (c["end"] - c["start"]).cast("double"),
         F.length(digits).cast("double"),
-        _count(m, r"[\x20().-]").cast("double"),
+        _count(m, SEPARATOR).cast("double"),
         yes((c["kind"] == 2) & (F.length(digits) <= 19) & luhn(F.left(digits, F.lit(20)))),
         yes((c["kind"] == 1) & _octets(m)),
-        yes(m.rlike(r"^(?:[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,3})$")),
+        yes(m.rlike(GROUPED)),
         c["form"].cast("double"),
         yes(c["before"].rlike(CUES)),
         yes(c["before"].rlike(ANTI_CUES)),
-        yes(c["before"].rlike(r"[\p{L}0-9#_/=-]$")),
-        yes(c["after"].rlike(r"^[\p{L}0-9_/=%-]")),
-        yes(F.lower(m).rlike(rf"(?:dot|\.)\W{{0,2}}(?:{'|'.join(TLDS)})$")),
+        yes(c["before"].rlike(GLUED_BEFORE)),
+        yes(c["after"].rlike(GLUED_AFTER)),
+        yes(F.lower(m).rlike(SPELT_TLD)),
+    ]
+
+
+@dataclass(frozen=True)
+class Candidate:
+    kind: int
+    form: int
+    match: str
+    before: str
+    after: str
+
+
+def _digits(text: str) -> str:
+    return re.sub("[^0-9]", "", text)
+
+
+def _luhn(digits: str) -> bool:
+    return bool(digits) and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_features(c: Candidate) -> list[float]:
+    """What `features` gives, for training."""
+    digits, octets = _digits(c.match), c.match.split(".")
+    return [
+        float(c.kind),
+        float(len(c.match)),
+        float(len(digits)),
+        float(len(re.findall(SEPARATOR, c.match))),
+        float(c.kind == 2 and len(digits) <= 19 and _luhn(digits)),
+        float(c.kind == 1 and all(int(o) <= 255 for o in octets)),
+        float(bool(re.search(GROUPED, c.match))),
+        float(c.form),
+        float(bool(re.search(CUES, c.before, re.A))),
+        float(bool(re.search(ANTI_CUES, c.before, re.A))),
+        float(bool(c.before and (c.before[-1].isalpha() or c.before[-1] in "0123456789#_/=-"))),
+        float(bool(c.after and (c.after[0].isalpha() or c.after[0] in "0123456789_/=%-"))),
+        float(bool(re.search(SPELT_TLD, c.match.lower(), re.A))),
     ]
 
 
+def plain_passes(c: Candidate) -> bool:
+    """What `base_passes` gives, for calibration."""
+    n = len(_digits(c.match))
+    if c.form != 1:
+        return False
+    return (True, c.kind == 1 and all(int(o) <= 255 for o in c.match.split(".")), 12 <= n <= 19 and _luhn(_digits(c.match)), 9 <= n <= 15)[c.kind]
+
+
 def base_passes(c: Column) -> Column:
     """Whether a candidate of a base pattern passes the base check of its kind."""
     digits = F.regexp_replace(c["match"], "[^0-9]", "")
@@ -150,43 +227,70 @@ class Boosted:
         return total
 
 
-def _template(rng: np.random.Generator) -> tuple[list[float], int]:
-    """Features and label of one generated candidate."""
-    kind = int(rng.integers(0, 4))
-    form = int(rng.random() < 0.6)
-    personal = bool(rng.random() < 0.5)
-    cue = float(rng.random() < (0.5 if personal else 0.1))
-    anti = float(not cue and rng.random() < (0.02 if personal else 0.5))
-    glued = [float(rng.random() < (0.01 if personal else 0.3)) for _ in range(2)]
-    luhn_ok = octets = grouped = tld = 0.0
-    if kind == 0:
-        length, digits, separators = rng.integers(8, 45), rng.integers(0, 4), rng.integers(2, 7)
-        tld = float(rng.random() < (0.95 if personal else 0.1))
-        if form == 1:
-            personal, tld = True, float(rng.random() < 0.8)
-    elif kind == 1:
-        form, digits, separators = 1, rng.integers(4, 13), 3
-        length = digits + 3
-        octets = float(personal or rng.random() < 0.2)
-        if not octets:
-            cue = float(rng.random() < 0.1)
-    elif kind == 2:
-        form, digits = 1, rng.choice([13, 14, 15, 16, 16, 16, 19]) if personal else rng.integers(12, 30)
-        grouped = float(digits == 16 and rng.random() < 0.8)
-        luhn_ok = float(personal or (digits <= 19 and rng.random() < 0.1))
-        separators = 3 * int(rng.random() < 0.4)
-        length = digits + separators
+_NEUTRAL = ("the", "and", "of", "we saw", "there were", "in", "about", "then", "with", "over")
+_CUED = ("tel", "phone", "call", "mobile", "fax", "contact", "reach", "e-mail", "mail", "write to", "card", "visa", "address", "host")
+_ANTI = ("order", "invoice", "ref", "id", "isbn", "serial", "version", "item", "part", "sku", "lot", "code", "case", "page")
+_WORDS = ("anna", "jo", "smith", "lee", "info", "sales", "office", "river", "north", "blue", "garden", "site", "shop", "studio", "mill", "group")
+
+
+def written(rng: np.random.Generator) -> tuple[str, bool]:
+    """A line of text around one piece that may be personal, and whether it is."""
+    pick = lambda a: a[int(rng.integers(len(a)))]
+    number = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    some = lambda p: bool(rng.random() < p)
+    name = pick(_WORDS) + (pick(("", ".", "_", "-")) + pick(_WORDS) if some(0.6) else "") + (number(2) if some(0.2) else "")
+    kind, personal = pick(("email", "spelt", "ip", "card", "phone", "local")), some(0.5)
+    cues = _CUED if personal else _NEUTRAL + _ANTI
+    glue = "" if personal or some(0.7) else pick(("#", "/", "=", "x", "-"))
+    if kind == "email":
+        piece, personal = f"{name}@{pick(_WORDS)}{number(1) if some(0.3) else ''}.{pick(TLDS) if some(0.8) else 'example'}", True
+        cues = _CUED + _NEUTRAL
+    elif kind == "spelt":
+        at, dot = pick(((" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] ")))
+        piece = f"{name}{at}{pick(_WORDS)}{dot}{pick(TLDS)}" if personal else f"{pick(_NEUTRAL)} at {pick(_WORDS)} dot {pick(_WORDS)}"
+        cues, glue = _CUED + _NEUTRAL if personal else _NEUTRAL, ""
+    elif kind == "ip":
+        parts = [str(int(rng.integers(0, 256))) for _ in range(4)]
+        if not personal:
+            parts[int(rng.integers(4))] = str(int(rng.integers(256, 5000)))
+        piece = ".".join(parts)
+    elif kind == "card":
+        body = number(15 if some(0.8) else int(rng.integers(11, 19)))
+        body += next(d for d in "0123456789" if _luhn(body + d))
+        if personal and some(0.4):  # with a slip
+            at = int(rng.integers(len(body)))
+            body = body[:at] + str((int(body[at]) + 1) % 10) + body[at + 1 :]
+        elif not personal:
+            body = number(int(rng.integers(12, 30)))
+        gap = pick(("", " ", "-")) if len(body) == 16 else ""
+        piece = gap.join(body[i : i + 4] for i in range(0, len(body), 4))
+        cues = ("card", "visa", "mastercard") if personal else cues
+    elif kind == "phone":
+        gap = pick((" ", "-", "."))
+        piece = f"+{rng.integers(1, 99)} {pick(('({})', '{}')).format(number(3))}{gap}{number(3)}{gap}{number(4)}"
+        if not personal:
+            piece = "+" + pick((f"{number(2)}-{number(2)}", gap.join(number(2) for _ in range(int(rng.integers(9, 14)))), number(int(rng.integers(16, 24)))))
     else:
-        digits = (rng.integers(9, 16) if form else 10) if personal else rng.integers(2, 22)
-        grouped = float(rng.random() < (0.9 if personal else 0.2))
-        if not form:
-            digits, grouped = 10, 1.0
-            personal = bool(cue) and not anti and not any(glued)  # without a country code the context decides
-        separators = rng.integers(1, 5)
-        length = digits + separators
-    if anti or any(glued):
-        personal = personal and form == 1 and rng.random() < 0.5
-    return [kind, length, digits, separators, luhn_ok, octets, grouped, form, cue, anti, *glued, tld], int(personal)
+        piece = pick(("({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}")).format(number(3), number(3), number(4))
+        cues = ("tel", "phone", "call", "mobile", "fax", "contact", "reach") if personal else cues
+    before = f"{pick(_NEUTRAL)} {pick(cues)}{pick((' ', ': ', ' ')) if not glue else ' '}{glue}"
+    return f"{before}{piece}{pick((' ', '.', ', ', ' now', '')) if personal or some(0.8) else pick(('-a', '/2', '%'))}", personal
+
+
+_PATTERNS = ((0, 1, EMAIL), (1, 1, IP), (2, 1, CARD), (3, 1, PHONE), (0, 0, SPELT_EMAIL), (3, 0, LOCAL_PHONE))
+
+
+def candidates_of(line: str) -> list[Candidate]:
+    """The candidates of a line, found as `scan` does."""
+    import regex
+
+    out = []
+    for kind, form, pattern in _PATTERNS:
+        found = list(regex.finditer(pattern, line, regex.A))
+        ends = [0, *[m.end() for m in found]]
+        starts = [*[m.start() for m in found[1:]], len(line)]
+        out += [Candidate(kind, form, m[0], line[last : m.start()][-24:].lower(), line[m.end() : after][:4]) for m, last, after in zip(found, ends, starts, strict=False)]
+    return out
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
@@ -210,10 +314,17 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
 
 @lru_cache
 def trained(n: int = 3000, trees: int = 16, depth: int = 3, rate: float = 0.4, precision: float = 0.97, seed: int = 11) -> Boosted:
-    """Trees fitted to n generated candidates, thresholds calibrated on n others."""
+    """Trees fitted to n candidates of written lines, thresholds calibrated on those of n others that fail the base checks."""
     rng = np.random.default_rng(seed)
-    made = [_template(rng) for _ in range(2 * n)]
-    x, y = np.array([m[0] for m in made], float), np.array([m[1] for m in made], float)
+    parts = []
+    for _ in range(2):
+        rows: list[tuple[Candidate, bool]] = []
+        while len(rows) < n:
+            line, personal = written(rng)
+            rows += [(c, personal) for c in candidates_of(line)]
+        parts += rows[:n]
+    x, y = np.array([plain_features(c) for c, _ in parts]), np.array([float(p) for _, p in parts])
+    failing = np.array([not plain_passes(c) for c, _ in parts])
     fit, held = slice(0, n), slice(n, 2 * n)
     bias = float(np.log(y[fit].mean() / (1 - y[fit].mean())))
     model = Boosted(bias, (), ())
@@ -228,11 +339,12 @@ def trained(n: int = 3000, trees: int = 16, depth: int = 3, rate: float = 0.4, p
     score = model.score(x[held])
     thresholds = []
     for kind in range(len(KINDS)):
-        own = x[held][:, 0] == kind
+        own = (x[held][:, 0] == kind) & failing[held]
         order = np.argsort(-score[own], kind="stable")
         good = np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1) >= precision
         last = np.flatnonzero(good)
-        thresholds.append(float(score[own][order][last[-1]]) if len(last) else float("inf"))
+        # even odds at least, so that the tail that the precision allows is not taken along
+        thresholds.append(max(0.0, float(score[own][order][last[-1]])) if len(last) else float("inf"))
     return Boosted(bias, tuple(grown), tuple(thresholds))
 
 
@@ -270,14 +382,26 @@ def _with_spans(df: DataFrame, model: Boosted) -> DataFrame:
     def chosen(cand: Column) -> Column:
         base = F.transform(F.filter(cand, base_passes), span)
         scored = F.filter(F.transform(F.filter(cand, lambda c: ~base_passes(c)), lambda c: F.struct(above(c).alias("over"), span(c).alias("s"))), lambda c: c["over"] >= 0)
-        best_first = F.array_sort(F.transform(scored, lambda c: F.struct((-c["over"]).alias("o"), c["s"].alias("s"))))
+        ranked = F.concat(F.transform(base, lambda b: F.struct(F.lit(float("inf")).alias("over"), b.alias("s"))), scored)
+        by_place = F.array_sort(F.transform(ranked, lambda c: F.struct(c["s"].alias("s"), c["over"].alias("over"))))
         empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
 
         def add(acc: Column, c: Column) -> Column:
             hit = F.exists(acc, lambda b: (b["start"] < c["s"]["end"]) & (c["s"]["start"] < b["end"]))
-            return F.when(hit, acc).otherwise(F.concat(acc, F.array(c["s"])))
+            return F.when(hit & (c["o"] != float("-inf")), acc).otherwise(F.concat(acc, F.array(c["s"])))
+
+        def settled(run: Column) -> Column:
+            best_first = F.array_sort(F.transform(run, lambda c: F.struct((-c["over"]).alias("o"), c["s"].alias("s"))))
+            return F.when(F.size(run) == 1, F.transform(run, lambda c: c["s"])).otherwise(F.aggregate(best_first, empty, add))
 
-        return let(base, lambda b: F.struct(F.array_sort(b).alias("base"), F.when(F.size(scored) > 0, F.array_sort(F.aggregate(best_first, b, add))).otherwise(F.array_sort(b)).alias("spans")))
+        def apart(p: Column) -> Column:
+            """Runs of spans that overlap, each settled by itself."""
+            reach = running(F.transform(p, lambda c: c["s"]["end"]), lambda x, y: F.greatest(x, y))
+            begins = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(r, i) <= F.get(p, i)["s"]["start"]))
+            runs = let(begins, lambda b: F.transform(b, lambda at, k: F.slice(p, at + 1, F.coalesce(F.get(b, k + 1), F.size(p)) - at)))
+            return F.flatten(F.transform(runs, settled))
+
+        return let(base, lambda b: F.struct(F.array_sort(b).alias("base"), F.when(F.size(scored) > 0, F.array_sort(let(by_place, apart))).otherwise(F.array_sort(b)).alias("spans")))
 
     empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
     df = df.withColumn("_chosen", F.when(F.size("_cand") > 0, let(F.col("_cand"), chosen)))
@@ -306,14 +430,17 @@ def redact(docs: DataFrame, model: Boosted | None = None, text: str = "text") ->
     hidden = docs.select(*[F.col(f"`{c}`").alias(f"_c_{c}") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     d = _with_spans(hidden, model or trained())
     mark = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    source = F.col("_text")
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def part(b: Column, lo: Column, hi: Column) -> Column:
+        """Code points lo to hi of the blocks' text; from one place on a block is never cut into more than once."""
+        own = F.slice(b, F.floor(lo / BLOCK).cast("int") + 1, (F.floor((hi - 1) / BLOCK) - F.floor(lo / BLOCK) + 1).cast("int"))
+        return F.when(hi > lo, F.substring(F.array_join(own, ""), (lo % BLOCK).cast("int") + 1, (hi - lo).cast("int"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.substring(source, (acc["pos"] + 1).cast("int"), F.greatest(s["start"] - acc["pos"], F.lit(0)).cast("int"))
-        out = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.array(cut, F.element_at(mark, s["kind"] + 1)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def cleaned(s: Column, b: Column, reach: Column) -> Column:
+        kept = F.transform(s, lambda x, i: F.when((F.get(reach, i) <= x["start"]) | (i == 0), F.concat(part(b, F.get(reach, i), x["start"]), F.get(mark, x["kind"]))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), part(b, F.element_at(reach, -1), F.length("_text").cast("bigint")))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate("_spans", first, step)
-    clean = let(done, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(source, (a["pos"] + 1).cast("int"), F.length(source))))
+    reach = running(F.transform("_spans", lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+    clean = let(blocks, lambda b: let(reach, lambda r: cleaned(F.col("_spans"), b, r)))
     return d.select(*[(F.when(F.size("_spans") > 0, clean).otherwise(F.col(f"_c_{c}")) if c == text else F.col(f"_c_{c}")).alias(c) for c in names])

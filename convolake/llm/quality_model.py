@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings with softmax output, trained with numpy.
 
-A document is the average of learned vectors of its words and of the byte n-grams inside them, all
-hashed to `buckets` rows, and of one more feature, the word pair of equal words; a softmax over two classes follows. The embedding and the output layer are
-trained together by stochastic gradient descent on a bounded, documented sample of labelled
-documents (`most_labels`), drawn by a hash of their ids. Because the output is linear in the average,
-scoring needs one number per hashed feature, and a batch looks each distinct word up once.
+A document is the average of learned vectors of its words and of the character n-grams (code points)
+inside them, all hashed to `buckets` rows; a softmax over two classes follows. The embedding and the
+output layer are trained together by stochastic gradient descent on a bounded, documented sample of
+labelled documents (`most_labels`), drawn by a hash of their ids. Because the output is linear in the
+average, scoring needs one number per hashed feature, and a batch looks each distinct word up once.
+Buckets that training never met weigh nothing.
 
 Defined results: null and text without words score the model's bias; repeated rows score alike;
 labels that are null are not learned from; an empty label table scores 0.5; only doc_id and text of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolake.llm.common import held_out
-from convolake.llm.kernels import Texts, bracketed, ngrams, texts, trimming
+from convolake.llm.kernels import Texts, bracketed, character_ngrams, texts, trimming
 
 
 @dataclass
@@ -37,7 +38,7 @@ class SubwordModel:
 
     def features(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words' features (bucket, word), each word occurrence's distinct word and its text."""
-        return word_features(t, len(self.weight) - 1, self.lo, self.hi)
+        return word_features(t, len(self.weight), self.lo, self.hi)
 
     def score(self, t: Texts) -> np.ndarray:
         bucket, word, which, where, n = self.features(t)
@@ -45,20 +46,9 @@ class SubwordModel:
         many = np.bincount(word, minlength=n).astype(float)
         top = np.bincount(where, total[which], len(t))
         size = np.bincount(where, many[which], len(t))
-        same = SAME_WEIGHT * same_pairs(which, where, len(t))
-        top, size = top + same * self.weight[-1], size + same
         return 1 / (1 + np.exp(-(self.bias + top / np.maximum(size, 1))))
 
 
-#: A pair of equal words counts as so many features, about as many as a word has n-grams.
-SAME_WEIGHT = 8
-
-
-def same_pairs(which: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    """Words of each text that equal the word before them."""
-    return np.bincount(where[1:][(which[1:] == which[:-1]) & (where[1:] == where[:-1])], minlength=n)
-
-
 def word_features(t: Texts, buckets: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     starts, ends, where = t.words()
     if not len(starts):
@@ -67,16 +57,16 @@ def word_features(t: Texts, buckets: int, lo: int, hi: int) -> tuple[np.ndarray,
     code = t.hashes(starts, ends)
     _, first, which = np.unique(code, return_index=True, return_inverse=True)
     own = bracketed(t, starts[first], ends[first])
-    bucket, word = ngrams(own, lo, hi, buckets)
+    bucket, word = character_ngrams(own, lo, hi, buckets)
     n = len(first)
     bucket = np.concatenate([bucket, ((code[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)])
     return bucket, np.concatenate([word, np.arange(n)]), which, where, n
 
 
-def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8, lo: int = 3, hi: int = 4, epochs: int = 12, batch: int = 32, rate: float = 60.0, l2: float = 1e-6, seed: int = 5) -> SubwordModel:
+def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8, lo: int = 3, hi: int = 5, epochs: int = 10, batch: int = 32, rate: float = 60.0, l2: float = 1e-6, seed: int = 5) -> SubwordModel:
     """Trains on (text, label) pairs; labels 0 and 1."""
     if not sample:
-        return SubwordModel(np.zeros(buckets + 1), 0.0, lo, hi)
+        return SubwordModel(np.zeros(buckets), 0.0, lo, hi)
     rng = np.random.default_rng(seed)
     y = np.array([label for _, label in sample], np.int64)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
@@ -86,14 +76,16 @@ def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8,
         bucket, many = bucket[order], np.bincount(word, minlength=n)
         begin = np.cumsum(many) - many
         cut = np.searchsorted(where, np.arange(len(t) + 1))
-        same = SAME_WEIGHT * same_pairs(which, where, len(t))
         for i in range(len(t)):
             words, times = np.unique(which[cut[i] : cut[i + 1]], return_counts=True)
             size = many[words]
             at = np.repeat(begin[words], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            weight = np.append(np.repeat(times, size), same[i])
-            rows.append((np.append(bucket[at], buckets).astype(np.int32), (weight / max(1, weight.sum())).astype(np.float32)))
-    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets + 1, dim)).astype(np.float32)
+            own, inverse = np.unique(bucket[at], return_inverse=True)
+            weight = np.bincount(inverse, np.repeat(times, size), len(own))
+            rows.append((own.astype(np.int32), (weight / max(1, weight.sum())).astype(np.float32)))
+    met = np.unique(np.concatenate([r[0] for r in rows]))
+    rows = [(np.searchsorted(met, f), share) for f, share in rows]
+    vectors = rng.uniform(-1 / dim, 1 / dim, (len(met), dim)).astype(np.float32)
     out = np.zeros((dim, 2), np.float32)
     prior = np.clip(np.array([(y == 0).mean(), (y == 1).mean()]), 1e-3, 1)
     bias = np.log(prior).astype(np.float32)
@@ -113,17 +105,19 @@ def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8,
             hidden = (p @ out.T).astype(np.float32)
             out -= (step * mean.T @ p * 0.1 + l2 * out).astype(np.float32)
             bias -= (step * p.sum(0) * 0.005).astype(np.float32)
-            np.subtract.at(vectors, f, step * hidden[who] * share[:, None])
-    weight = vectors @ (out[:, 1] - out[:, 0])
-    return SubwordModel(weight.astype(np.float64), float(bias[1] - bias[0]), lo, hi)
+            for d in range(dim):
+                vectors[:, d] -= (step * np.bincount(f, hidden[who, d] * share, len(met))).astype(np.float32)
+    weight = np.zeros(buckets)
+    weight[met] = vectors @ (out[:, 1] - out[:, 0])
+    return SubwordModel(weight, float(bias[1] - bias[0]), lo, hi)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most_labels: int) -> list[tuple[str, int]]:
-    """Texts of at most most_labels labelled documents that are not held out, the first by a hash of the id."""
+    """Texts of at most most_labels labelled ids that are not held out, the first by a hash of the id; at most twice as many texts."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # most_labels rows at most
-    rows = found.select("doc_id", "text", "quality").collect()
+    rows = found.select("doc_id", "text", "quality").limit(2 * most_labels).collect()  # ids may be repeated
     return [(r[1], int(r[2])) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
 
 

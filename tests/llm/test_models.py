@@ -17,9 +17,7 @@ def labelled(spark):
     rows, labels = [], []
     for i in range(400):
         good = i % 3 > 0
-        word = prose("qrs", 1)
-        bad = RNG.choice([prose("#*$&xyz", 60), " ".join([word] * 50)])
-        rows.append((i, prose("abcdefgh", 50) if good else bad, "clash", 1.0))
+        rows.append((i, prose("abcdefgh" if good else "#*$&xyz", 50), "clash", 1.0))
         if i < 300:
             labels.append((i, int(good) if i != 7 else None, 0))
     rows += [(900, None, None, None), (901, "", None, None), (None, prose("abcdefgh", 30), None, None), (5, rows[5][1], None, None)]
@@ -49,6 +47,36 @@ def test_quality_scores_whole_texts_alike_in_any_batching(labelled):
     assert a == pytest.approx(b, abs=1e-9)
 
 
+def test_quality_scores_against_brute_force(labelled):
+    """Every score from the definition: hashes of words and code point n-grams, one by one."""
+    import math
+    import re
+
+    docs, labels = labelled
+    model = quality_model.fit(quality_model.training_sample(docs, labels, 300), buckets=4096)
+    mask, p = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def bucket(text):
+        x = sum((b + 1) * pow(p, i, 1 << 64) for i, b in enumerate(text.encode())) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return ((x ^ x >> 31) >> 20) % 4096
+
+    extra = [(2000, "é ßß naïve naïve\t漢字かな交じり文 😀😀😀 a\x85b", None, None), (2001, "z" * 3000, None, None)]
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 60 or doc_id >= 900").collect()] + [e[:2] for e in extra]
+    got = quality_model.score_quality(docs.where("doc_id < 60 or doc_id >= 900").union(docs.sparkSession.createDataFrame(extra, docs.schema)), model).collect()
+    want = []
+    for doc, text in rows:
+        weights = []
+        for w in re.findall("[^\x20\x09-\x0d]+", text or ""):
+            own = f"<{w}>"
+            weights += [model.weight[bucket(w)], *(model.weight[bucket(own[i : i + n])] for n in range(model.lo, model.hi + 1) for i in range(len(own) - n + 1))]
+        want.append((doc, 1 / (1 + math.exp(-(model.bias + sum(weights) / max(1, len(weights)))))))
+    key = lambda r: (r[0], round(r[1], 6))
+    assert [r[0] for r in sorted(got, key=key)] == [r[0] for r in sorted(want, key=key)]
+    assert [r[1] for r in sorted(got, key=key)] == pytest.approx([r[1] for r in sorted(want, key=key)], abs=1e-9)
+
+
 def test_quality_without_labels_or_rows(labelled, no_docs):
     docs, labels = labelled
     none = labels.where("false")
@@ -128,14 +156,17 @@ def brute_links(rows, threshold=0.95):
     return ids, near
 
 
-def test_near_dedup_recall_and_counts(spark, vector_rows):
-    rows = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(vector_rows, "vec_id long, embedding array<float>, label int")).collect()}
+@pytest.mark.parametrize("options", [{}, {"tables": 3, "radius": 2}, {"exact": True}])
+def test_near_dedup_recall_and_counts(spark, vector_rows, options):
+    rows = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(vector_rows, "vec_id long, embedding array<float>, label int"), **options).collect()}
     assert len(rows) == len(vector_rows)
     ids, near = brute_links(vector_rows)
     want = dict(zip(ids, near.sum(1), strict=True))
     got = {i: rows[i].n_links for i in ids}
     assert all(got[i] <= want[i] for i in ids)
     assert sum(got.values()) >= 0.9 * sum(want.values())
+    if "exact" in options:
+        assert got == want
     assert got[3] >= 41  # its copies, and the vector twice as long
     for i in (2000, 2001, 2002, 2003, 2004, 2005):
         assert (rows[i].n_links, rows[i].component_id, rows[i].kept) == (0, i, True)
@@ -164,3 +195,15 @@ def test_four_languages_are_found_and_the_share_counts(spark):
     assert set(got[903].lang_set) == {"aa", "bb", "cc"}
     kept = {r.doc_id for r in langid.keep_identified(docs).collect()}
     assert {900, 901}.isdisjoint(kept) and {902, 903} <= kept and len(kept) == len(rows) - 2
+
+
+def test_texts_of_no_learned_language_go(spark):
+    """Another script and noise are likelier by chance; a document keeps its place and gets the language found."""
+    kinds = {"aa": "abcd", "bb": "efgh"}
+    rows = [(i, prose(kinds[lang], 60), lang if i % 5 else None, "s") for i, lang in enumerate(list(kinds) * 60)]
+    rows += [(900, prose("иклмнопрст", 60), None, "s"), (901, prose("uvwxyz#0987", 80), None, "s"), (902, prose("abcd", 90) + " " + prose("uvwxyz", 9), None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    kept = {r.doc_id: r for r in langid.keep_identified(docs).collect()}
+    assert {900, 901}.isdisjoint(kept) and len(kept) == len(rows) - 2
+    assert kept[902].lang == "aa" and all(kept[i].lang == ("aa", "bb")[i % 2] for i in range(120))
+    assert all(kept[i].text == t and kept[i].score == "s" for i, t, _, _ in rows if i in kept)

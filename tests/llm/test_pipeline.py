@@ -44,9 +44,9 @@ def test_language(stages, spark):
     keep = []
     for r in before:
         if r[1] and re.search(r"[^\W\d_]", r[1]):
-            pi = model.proportions(one_text(r[1]))[0]
-            if pi.max() >= langid.LEAST_SHARE:
-                keep.append(r)
+            pi, above = model.judge(one_text(r[1]))
+            if pi[0].max() >= langid.LEAST_SHARE and above[0] >= 0:
+                keep.append((*r[:2], model.languages[pi[0].argmax()], *r[3:]))
     assert sorted(after) == sorted(keep)
     assert 2001 not in {r[0] for r in after} and 2000 in {r[0] for r in after}
 

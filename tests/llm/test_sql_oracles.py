@@ -45,6 +45,35 @@ def test_cascade_order_does_not_change_the_verdict(spark, more):
     assert a == b
 
 
+def test_the_order_is_the_same_in_every_run(spark, more):
+    sample = quality_rules.spread_sample(spark.createDataFrame(more, SCHEMA), 50)
+    for made in (True, False):
+        runs = [[(r.name, share, work) for r, share, work in quality_rules.ordered(sample, (*quality_rules.BASE_RULES, *quality_rules.RULES), made=made)] for _ in range(2)]
+        assert runs[0] == runs[1]
+        worth = [share / work for _, share, work in runs[0]]
+        assert worth == sorted(worth, reverse=True)
+
+
+def test_keep_good_keeps_what_the_verdict_keeps(spark, more, no_docs):
+    df = spark.createDataFrame(more, SCHEMA)
+    want = [r.doc_id for r in quality_rules.quality_rules(df).where("kept").collect()]
+    for rules in (quality_rules.RULES, tuple(reversed(quality_rules.RULES))):
+        out = quality_rules.keep_good(df, rules=rules)
+        assert out.columns == df.columns and sorted((r.doc_id for r in out.collect()), key=str) == sorted(want, key=str)
+    assert quality_rules.keep_good(no_docs).count() == 0
+
+
+def test_repeated_windows_whose_hashes_are_alike(spark):
+    """The slow way, taken where upper bits of different windows agree or a text is very long, counts the same."""
+    from pyspark.sql import functions as F
+
+    words = [("a b c d e f " * 5).split(), "a b c d e x a b c d e".split(), "p q r s t u v".split(), ["w"] * 40]
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    fast = [r[0] for r in df.select(quality_rules.repeated_words(F.col("w"))).collect()]
+    slow = [r[0] for r in df.select(quality_rules.repeated_words(F.col("w"), least=0)).collect()]
+    assert fast == slow == [30, 10, 0, 40]
+
+
 @pytest.mark.parametrize("empty", [False, True])
 @pytest.mark.parametrize("buckets", [None, 7])
 def test_mixing(spark, more, empty, buckets):
