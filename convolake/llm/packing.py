@@ -2,7 +2,7 @@
 
 Documents become ids, are cut into pieces of at most `seq_len`, and the pieces are packed so that
 sequences of `seq_len` need little padding. Full pieces are sequences already. The others are counted
-in a histogram of length classes (`grain` ids wide, so at most seq_len / grain classes whatever the
+in a histogram of length classes (exact for short pieces, wider for long ones, some 350 whatever the
 corpus), over which a linear program chooses patterns: how many pieces of each class share a
 sequence. Columns are generated by pricing patterns with a knapsack dynamic program. The rounded
 patterns say which ranks of each class go to which sequence; ranks are assigned to the pieces on the
@@ -15,6 +15,7 @@ named in `keep`. Texts of any length are cut, never dropped.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
@@ -35,8 +36,10 @@ from convolake.llm.kernels import trimming
 CACHED_CHUNKS = 500_000
 
 
-#: Symbols that the tokenizer always splits from a letter before them.
+#: Symbols that the tokenizer splits from a word before them.
 _SYMBOLS = ".,;:!?|#$%&*"
+#: How the tokenizer splits what is ASCII, lower case and without white space.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> list[str]:
@@ -46,80 +49,53 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
-class _Known(dict):
-    """chunk -> ids; what is only known for now is in `extra`."""
-
-    extra: dict[str, bytes]
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.extra[chunk]
-
-
-class ChunkEncoder:
+class ChunkEncoder(dict):
     """Ids of texts as little-endian uint32 bytes; equal to the tokenizer's own on the whole text.
 
     The tokenizer splits at white space before anything can cross it, so a text's ids are those of
-    its chunks between spaces, and those of a chunk that ends in symbols are its letters' and its
-    symbols'. ASCII letters are lower-cased first, as the tokenizer does after it has looked for
-    special tokens, so a text that may hold one is left alone. Ids of frequent chunks are remembered.
+    its chunks between spaces. A chunk of ASCII is split as the tokenizer splits it; one that is a
+    word in Latin letters, composed as they are, and symbols after it, is the word in lower case and the symbols;
+    any other chunk, and one that may hold a special token, goes to the tokenizer whole. ASCII texts without such
+    a token are lower-cased first. It is a dictionary of the chunks met so far, up to `cached`.
     """
 
     def __init__(self, path: str, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known = _Known({"": b""})
         self.cached = cached
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a lower-case Latin word, straight from the model; None for anything else."""
-        if word.isascii():
-            if not word.isalpha() or word != word.lower():
-                return None
-        elif word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word):
-            word = "".join([self.letters[b] for b in word.encode()])
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the tokenizer does not split any further."""
+        return array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            ids = array("I", [t.id for t in self.model.tokenize(chunk)]).tobytes()
+        elif chunk.isascii() and "<|" not in chunk and "\x0b" not in chunk and "\x0c" not in chunk:
+            pieces = _PIECES.findall(chunk.lower())
+            ids = b"".join([self[p] for p in pieces]) if len(pieces) > 1 else self._piece(pieces[0])
         else:
-            return None
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            core = chunk.rstrip(_SYMBOLS)
+            low = core.lower()
+            if core.isalpha() and max(core) < "\u0250" and len(low) == len(core) and unicodedata.is_normalized("NFC", core):
+                ids = self._piece(low) if core == chunk else self[low] + self[chunk[len(core) :]]
+            else:  # in its own case, as letters are composed with marks before they are lower-cased
+                ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(self) < self.cached and len(chunk) < 64:
+            self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, extra, rest = self.known, {}, []
-        known.extra = extra
-        split = []
+        out, look = [], self.__getitem__
         for t in texts:
-            if "<|" not in t:
-                t = t.lower() if t.isascii() else t.encode().lower().decode()
-            split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        ends: list[tuple[str, str]] = []
-        for chunk in {c for chunks in split for c in chunks if c not in known}:
-            core = chunk.rstrip(_SYMBOLS)
-            if len(core) < len(chunk) and core[-1:].isalpha():
-                ends.append((chunk, core))
-                if core in known:
-                    continue
-                chunk = core
-            if chunk in extra:
-                continue
-            ids = self._word(chunk)
-            if ids is None:
-                rest.append(chunk)
-            else:
-                extra[chunk] = ids
-        symbols = {c[len(core) :] for c, core in ends}
-        rest.extend(s for s in symbols if s not in known)
-        for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            extra[chunk] = array("I", got.ids).tobytes()
-        room = self.cached - len(known)
-        if room > 0:
-            known.update((c, ids) for c, ids in list(extra.items())[:room] if len(c) < 64)
-        for chunk, core in ends:
-            extra[chunk] = known[core] + known[chunk[len(core) :]]
-            if core in known and len(known) < self.cached and len(chunk) < 24:
-                known[chunk] = extra[chunk]
-        look = known.__getitem__
-        return [b"".join(map(look, chunks)) for chunks in split]
+            if t.isascii() and "<|" not in t:
+                t = t.lower()
+            out.append(b"".join(map(look, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -232,23 +208,31 @@ def solve_patterns(counts: dict[int, int], capacity: int, *, gap: float = 5e-4,
     return chosen
 
 
-def pack_pieces(pieces: DataFrame, *, seq_len: int = 2048, grain: int = 8) -> DataFrame:
+def _steps(seq_len: int) -> list[tuple[int, int]]:
+    """(up to this length, width of a class): exact classes for short pieces, and about 1 % of the length beyond."""
+    return [(seq_len // 32, 1), (seq_len // 16, 2), (seq_len // 8, 4), (seq_len, max(1, seq_len // 256))]
+
+
+def pack_pieces(pieces: DataFrame, *, seq_len: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces, a table that can be read again with the same rows.
 
     Ranks within a length class come from counts per (class, input partition) and a row number inside
     each, so a class that holds most pieces is still spread over as many tasks as its input was.
     """
     spark = pieces.sparkSession
-    p = pieces.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_class", F.expr(f"int((length + {grain - 1}) div {grain})"))
+    size = F.col("length")
+    for most, width in reversed(_steps(seq_len)):
+        size = F.when(F.col("length") <= most, F.expr(f"int((length + {width - 1}) div {width}) * {width}")).otherwise(size)
+    p = pieces.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_class", F.least(size, F.lit(seq_len)).cast("int"))
     p = p.withColumn("_bucket", F.shiftright("_pid", 13))  # runs of at most 8192 rows of one input partition
     full, rest = p.where(F.col("length") == seq_len), p.where(F.col("length") < seq_len)
     per = rest.groupBy("_class", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_class", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    histogram = {r[0]: r[1] for r in rest.groupBy("_class").count().collect()}  # at most seq_len / grain rows
+    histogram = {r[0]: r[1] for r in rest.groupBy("_class").count().collect()}  # a row a class
     used: dict[int, int] = {}
     spans, base = [], 0
-    for times, pattern in solve_patterns(histogram, seq_len // grain):
+    for times, pattern in solve_patterns(histogram, seq_len):
         slot = 0
         for size, each in pattern.items():
             at = used.get(size, 0)
@@ -257,7 +241,7 @@ def pack_pieces(pieces: DataFrame, *, seq_len: int = 2048, grain: int = 8) -> Da
             slot += each
         base += times
     table = spark.createDataFrame(spans, "_class int, _from long, _to long, _each long, _base long, _slot long")
-    # at most (patterns) x (pieces a pattern) rows, both bounded by seq_len / grain
+    # patterns x classes in a pattern: bounded by the classes, whatever the corpus
     rank = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("_pid")) - 1
     ranked = rest.withColumn("_r", rank).join(per, ["_class", "_bucket"]).withColumn("_rank", F.col("_r") + F.col("_before"))
     placed = ranked.join(F.broadcast(table), (ranked["_class"] == table["_class"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
@@ -270,6 +254,6 @@ def pack_pieces(pieces: DataFrame, *, seq_len: int = 2048, grain: int = 8) -> Da
     return full.select(names).unionByName(placed.select(names))
 
 
-def pack(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: int = 1, grain: int = 8, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Tokenizes, cuts and packs docs (doc_id, text); a row per piece."""
-    return pack_pieces(materialize(tokenize_pieces(docs, tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids), "pieces"), seq_len=seq_len, grain=grain)
+    return pack_pieces(materialize(tokenize_pieces(docs, tokenizer, seq_len=seq_len, end_id=end_id, with_ids=with_ids), "pieces"), seq_len=seq_len)

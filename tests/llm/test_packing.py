@@ -72,6 +72,33 @@ def test_patterns_cover_exactly_and_near_the_bound(seed):
 
 def test_chunks_encode_like_whole_texts(tokenizer, doc_rows):
     encoder = packing.ChunkEncoder(tokenizer_path(PACK_TOKENIZER), cached=50)
-    texts = [r[1] or "" for r in doc_rows] + ["tab\tand\r\nbreak  double", "é ́x", "don't I'LL we're", "\x1c\x1d a\x85b", "İstanbul ΑΣ ΑΣ."]
+    texts = [r[1] or "" for r in doc_rows] + ["tab\tand\r\nbreak  double", "é ́x", "don't I'LL we're", "\x1c\x1d a\x85b", "İstanbul ΑΣ ΑΣ.", "GAZETESİ.", "x\x0by\x0c.", "'s's''d 'll'", "a<|b <|ENDOFTEXT|> AB<|endoftext|>cd"]
     for t, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_random_strings_of_all_scripts_encode_like_the_tokenizer(tokenizer):
+    rng = np.random.default_rng(5)
+    scripts = [(0x20, 0x7F), (0x00, 0x20), (0x7F, 0x250), (0xC0, 0x180), (0x250, 0x2000), (0x300, 0x370), (0x370, 0x530), (0x600, 0x700), (0x900, 0xE00), (0x1E00, 0x2100), (0x3040, 0x3400), (0xAC00, 0xAD00), (0x1F600, 0x1F650)]
+    encoder = packing.ChunkEncoder(tokenizer_path(PACK_TOKENIZER), cached=1000)
+    texts = []
+    for _ in range(100_000):
+        own = [scripts[i] for i in rng.integers(0, len(scripts), 2)] + [scripts[0]]
+        n = int(rng.integers(1, 14))
+        pick = rng.integers(0, 3, n)
+        texts.append("".join(rng.choice(list(".,!'# sStTİßé")) if rng.random() < 0.3 else chr(int(rng.integers(*own[k]))) for k in pick))
+    got = encoder.encode(texts)
+    for t, ids, want in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, (t, [hex(ord(c)) for c in t])
+
+
+@pytest.mark.parametrize("kind", ["empty", "short", "middling"])
+def test_little_padding_for_short_texts(spark, kind):
+    rng = np.random.default_rng(8)
+    most = {"empty": 1, "short": 30, "middling": 300}[kind]
+    rows = [(i, "" if kind == "empty" else " ".join(["word"] * int(rng.integers(0, most)))) for i in range(20_000)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer_path(PACK_TOKENIZER)).toPandas()
+    per = out.groupby("sequence_id")
+    assert (per["length"].sum() <= 2048).all() and (per["offset"].max() + 0 <= 2047).all()
+    used = per.ngroups * 2048
+    assert used <= out["length"].sum() * 1.02 + 2048
