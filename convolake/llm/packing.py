@@ -15,7 +15,6 @@ named in `keep`. Texts of any length are cut, never dropped.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from array import array
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from convolake.llm.common import materialize
-from convolake.llm.kernels import trimming
+from convolake.llm.kernels import LOWER, SPACE, Texts, texts, trimming
 
 #: Chunks of text of which a worker remembers the ids.
 CACHED_CHUNKS = 500_000
@@ -38,8 +37,9 @@ CACHED_CHUNKS = 500_000
 
 #: Symbols that the tokenizer splits from a word before them.
 _SYMBOLS = ".,;:!?|#$%&*"
-#: How the tokenizer splits what is ASCII, lower case and without white space.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Kinds of ASCII bytes: letters, which stay together, digits, which don't, and others, which do.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[97:123], _KIND[48:58] = 1, 2
 
 
 def _byte_letters() -> list[str]:
@@ -50,52 +50,77 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkEncoder(dict):
-    """Ids of texts as little-endian uint32 bytes; equal to the tokenizer's own on the whole text.
+    """Ids of texts, equal to the tokenizer's own on the whole text.
 
     The tokenizer splits at white space before anything can cross it, so a text's ids are those of
-    its chunks between spaces. A chunk of ASCII is split as the tokenizer splits it; one that is a
-    word in Latin letters, composed as they are, and symbols after it, is the word in lower case and the symbols;
-    any other chunk, and one that may hold a special token, goes to the tokenizer whole. ASCII texts without such
-    a token are lower-cased first. It is a dictionary of the chunks met so far, up to `cached`.
+    its chunks between spaces. A chunk of ASCII without apostrophe is split where the tokenizer splits it: runs of
+    letters, lower-cased, single digits, and runs of symbols. Any other chunk, and one that may hold a special
+    token, is looked up whole, in its own case, as letters are composed with marks before they are lower-cased. A
+    run of texts looks each of its distinct pieces up once. It is a dictionary of the pieces met so far, up to `cached`.
     """
 
     def __init__(self, path: str, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
         self.cached = cached
 
     def _piece(self, piece: str) -> bytes:
         """Ids of what the tokenizer does not split any further."""
-        return array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and chunk.islower():
-            ids = array("I", [t.id for t in self.model.tokenize(chunk)]).tobytes()
-        elif chunk.isascii() and "<|" not in chunk and "\x0b" not in chunk and "\x0c" not in chunk:
-            pieces = _PIECES.findall(chunk.lower())
-            ids = b"".join([self[p] for p in pieces]) if len(pieces) > 1 else self._piece(pieces[0])
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def __missing__(self, raw: bytes) -> bytes:
+        chunk = raw.decode()
+        if raw.isascii() and "'" not in chunk and "<|" not in chunk:
+            ids = array("I", [t.id for t in self.model.tokenize(chunk)]).tobytes() if chunk.isalpha() else self._piece(chunk)
         else:
             core = chunk.rstrip(_SYMBOLS)
             low = core.lower()
             if core.isalpha() and max(core) < "\u0250" and len(low) == len(core) and unicodedata.is_normalized("NFC", core):
-                ids = self._piece(low) if core == chunk else self[low] + self[chunk[len(core) :]]
-            else:  # in its own case, as letters are composed with marks before they are lower-cased
+                # a word in Latin letters, composed as they are, and what the tokenizer splits from it
+                ids = self._piece(low) if core is chunk else self[low.encode()] + self[chunk[len(core) :].encode()]
+            else:
                 ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(self) < self.cached and len(chunk) < 64:
-            self[chunk] = ids
+        if len(raw) < 64 and len(self) < self.cached:
+            self[raw] = ids
         return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, look = [], self.__getitem__
-        for t in texts:
-            if t.isascii() and "<|" not in t:
-                t = t.lower()
-            out.append(b"".join(map(look, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
-        return out
+    def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the offsets of each."""
+        starts, ends, where = t.words()
+        n = len(t.data)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(t) + 1, np.int64)
+        odd = (t.data >= 128) | (t.data == 39)
+        odd[:-1] |= (t.data[:-1] == 60) & (t.data[1:] == 124)
+        whole = np.add.reduceat(odd, np.stack([starts, np.minimum(ends, n - 1)], 1).ravel())[::2] > 0
+        whole |= (ends == n) & odd[n - 1]  # reduceat takes no end beyond the last place
+        edge = np.zeros(n + 1, np.int8)
+        edge[starts[whole]] += 1
+        edge[ends[whole]] -= 1
+        in_whole = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        data = np.where(in_whole, t.data, LOWER[t.data])
+        kind = _KIND[data]
+        begin = np.zeros(n, bool)
+        begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begin &= ~in_whole & ~SPACE[data]
+        opens = np.zeros(n, bool)
+        opens[starts] = True
+        first = np.flatnonzero(begin | opens)
+        chunk = np.cumsum(opens[first]) - 1
+        last = np.minimum(np.append(first[1:], n), ends[chunk])
+        own = Texts(data, t.offsets)
+        _, one, which = np.unique(own.hashes(first, last), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = [self[raw[a:b]] for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        many = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = many[which]
+        at = np.repeat((np.cumsum(many) - many)[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return ids[at], np.concatenate([[0], np.cumsum(np.bincount(where[chunk], size, len(t)).astype(np.int64))])
 
 
 @lru_cache(maxsize=1)
@@ -109,7 +134,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    end = np.asarray([end_id], "<u4").tobytes()
+    names = [f.name for f in fields]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -117,25 +142,20 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_for(tokenizer)
         for batch in trimming(batches):
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                rows, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, own in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    own += end
-                    for at in range(0, len(own), 4 * seq_len):
-                        piece = own[at : at + 4 * seq_len]
-                        rows.append(i)
-                        start.append(at // 4)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(len(own) // 4)
-                        if with_ids:
-                            ids.append(piece)
-                out = [part.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            for lo, hi, t in texts(batch.column(1)):
+                ids, offsets = encoder.encode(t)
+                ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
+                offsets = offsets + np.arange(hi - lo + 1)
+                total = np.diff(offsets)
+                cuts = -(-total // seq_len)
+                row = np.repeat(np.arange(hi - lo), cuts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * seq_len
+                length = np.minimum(seq_len, total[row] - start)
+                raw = memoryview(ids.tobytes())
+                parts = [raw[4 * a : 4 * b] for a, b in zip((offsets[row] + start).tolist(), (offsets[row] + start + length).tolist(), strict=True)]
+                out = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), *[pa.array(x, pa.int64()) for x in (start, length, [zlib.crc32(p) for p in parts], total[row])]]
                 if with_ids:
-                    out.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
+                    out.append(pa.array([bytes(p) for p in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(pieces, T.StructType(fields))

@@ -32,7 +32,7 @@ def brute(rows, discount=0.4):
 @pytest.mark.parametrize(("flush", "hot_share"), [(10**9, 0.01), (300, 0.01), (300, 1.0), (2000, 1e-9)])
 def test_brute_force(docs, doc_rows, monkeypatch, flush, hot_share):
     monkeypatch.setattr(lm_scoring, "FLUSH_WORDS", flush)
-    monkeypatch.setattr(lm_scoring, "GATHERED", 50)
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 500)
     rows = [(r[0], r[1]) for r in doc_rows] + [(None, "null id here"), (5, "ONE two three"), (None, "null id here"), (7000, "hm hm hm hm " * 400)]
     spark = docs.sparkSession
     own = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
@@ -46,8 +46,7 @@ def test_brute_force(docs, doc_rows, monkeypatch, flush, hot_share):
     assert copy[0] == copy[1] and copy[0][2] == 0 and copy[0][1] == 3
 
 
-def test_a_pair_of_a_third_of_all_rows_moves_nowhere(spark):
-    """A pair that most texts hold is scored where it is read; a third of the rows in one word are dealt by pair."""
+def test_a_pair_that_most_texts_hold(spark):
     rows = [(i, f"very common w{i % 97} tail{i}") for i in range(600)]
     own = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_words, r.n_backoff, round(r.score, 4)) for r in lm_scoring.lm_scores(own, hot_share=0.05).collect())
@@ -62,3 +61,11 @@ def test_clashing_columns(spark):
     rows = [(1, "a b c", 1, 2), (2, "a b d", 3, 4), (3, None, None, None)]
     got = {r.doc_id: r for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, w1 long, n long")).collect()}
     assert got[1].n_backoff == 1 and got[3].score == 0 and got[3].n_words == 0
+
+
+def test_arrays_travel():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert (lm_scoring.unpack_array(lm_scoring.pack_array(x)) == x).all()
+        assert (lm_scoring.unpack_array(lm_scoring.pack_array(np.sort(x), True)) == np.sort(x)).all()
