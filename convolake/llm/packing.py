@@ -2,7 +2,7 @@
 
 Documents become ids, are cut into pieces of at most `seq_len`, and the pieces are packed so that
 sequences of `seq_len` need little padding. Full pieces are sequences already. The others are counted
-in a histogram of length classes (exact for short pieces, wider for long ones, some 350 whatever the
+in a histogram of length classes (exact for short pieces, wider for long ones, some 250 whatever the
 corpus), over which a linear program chooses patterns: how many pieces of each class share a
 sequence. Columns are generated by pricing patterns with a knapsack dynamic program. The rounded
 patterns say which ranks of each class go to which sequence; ranks are assigned to the pieces on the
@@ -217,20 +217,46 @@ def solve_patterns(counts: dict[int, int], capacity: int, *, gap: float = 5e-4,
         if times > 0:
             left -= times * a
             chosen.append((times, {int(sizes[i]): int(a[i]) for i in np.flatnonzero(a)}))
-    while left.any():
-        a, room = np.zeros(m, np.int64), capacity
-        for i in range(m - 1, -1, -1):
-            a[i] = min(left[i], room // sizes[i])
-            room -= a[i] * sizes[i]
-        times = int(min(left[i] // a[i] for i in np.flatnonzero(a)))
-        left -= times * a
-        chosen.append((times, {int(sizes[i]): int(a[i]) for i in np.flatnonzero(a)}))
+    return chosen + fill({int(z): int(n) for z, n in zip(sizes, left, strict=True)}, capacity)
+
+
+def fill(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, {size: pieces}) of what is left, largest first."""
+    chosen, left = [], {z: n for z, n in sorted(left.items(), reverse=True) if n > 0}
+    while left:
+        pattern, room = {}, capacity
+        for z, n in left.items():
+            a = min(n, room // z)
+            if a:
+                pattern[z] = a
+                room -= a * z
+        times = min(left[z] // a for z, a in pattern.items())
+        chosen.append((times, pattern))
+        left = {z: n - times * pattern.get(z, 0) for z, n in left.items() if n > times * pattern.get(z, 0)}
     return chosen
 
 
+def solve_lengths(counts: dict[int, int], seq_len: int) -> list[tuple[int, dict[int, int]]]:
+    """The same for length classes: patterns of pieces that aren't short, whose room short pieces fill, and sequences of the short ones left."""
+    short = {z: n for z, n in sorted(counts.items(), reverse=True) if z <= seq_len // 32}
+    unit = max(1, seq_len // 1024)
+    out = []
+    for times, pattern in solve_patterns({z // unit: n for z, n in counts.items() if z not in short}, seq_len // unit):
+        pattern = {z * unit: a for z, a in pattern.items()}
+        room = seq_len - sum(z * a for z, a in pattern.items())
+        for z, n in short.items():
+            a = min(n // times, room // z)
+            if a:
+                pattern[z] = a
+                short[z] -= a * times
+                room -= a * z
+        out.append((times, pattern))
+    return out + fill(short, seq_len)
+
+
 def _steps(seq_len: int) -> list[tuple[int, int]]:
     """(up to this length, width of a class): exact classes for short pieces, and about 1 % of the length beyond."""
-    return [(seq_len // 32, 1), (seq_len // 16, 2), (seq_len // 8, 4), (seq_len, max(1, seq_len // 256))]
+    return [(seq_len // 32, 1), *[(seq_len >> k, max(1, seq_len >> (k + 6))) for k in (4, 3, 2)], (seq_len, max(1, seq_len // 128))]
 
 
 def pack_pieces(pieces: DataFrame, *, seq_len: int = 2048) -> DataFrame:
@@ -252,7 +278,7 @@ def pack_pieces(pieces: DataFrame, *, seq_len: int = 2048) -> DataFrame:
     histogram = {r[0]: r[1] for r in rest.groupBy("_class").count().collect()}  # a row a class
     used: dict[int, int] = {}
     spans, base = [], 0
-    for times, pattern in solve_patterns(histogram, seq_len):
+    for times, pattern in solve_lengths(histogram, seq_len):
         slot = 0
         for size, each in pattern.items():
             at = used.get(size, 0)
