@@ -204,7 +204,8 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (p, id, lo, key) in the order of p; gives (key, id, lo), lo one member of the key's group.
 
     Rows with lo are in a group already. The others are grouped by p, without those that are alone.
-    Only the last row is remembered from one batch to the next, so groups of any size stream through.
+    Only the last row is remembered from one batch to the next, so groups of any size stream through;
+    lo is the smallest id of a group that ends where it begins, so the keys of the same documents agree on it.
     """
     before_p = before_id = np.zeros(0, np.int64)
     lo_now, told = 0, False
@@ -218,7 +219,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, ids = np.concatenate([before_p, p]), np.concatenate([before_id, ids])
             begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             size = np.diff(np.append(begin, len(p)))
-            first = ids[begin]
+            first = np.minimum.reduceat(ids, begin)
             if len(before_p) and told:
                 first[0] = lo_now  # the group goes on
             low = np.repeat(first, size)
