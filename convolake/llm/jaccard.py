@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convolake.llm.common import connected_components, materialize
+from convolake.llm.common import connected_components, materialize, release
 from convolake.llm.kernels import Texts, mix, texts, trimming
 
 _K = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)]
@@ -57,14 +57,12 @@ def size_classes(percent: int) -> tuple[tuple[int, int, int], ...]:
     """(least size, blocks m, most differing shingles d) of each size class.
 
     The larger document of a linked pair is in the smaller one's class or the next; d is that of the
-    largest pair whose smaller document is in the class. Classes of larger sets are wider, so that
-    fewer documents are in reach of two.
+    largest pair whose smaller document is in the class. Wider classes would make fewer keys of smaller
+    blocks, which unrelated documents share more often.
     """
     out, least = [], 1
     while least < 1 << 40:
         after = least * 100 // percent + 1
-        if least >= 64:
-            after = after * 100 // percent + 1
         small = after - 1
         d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
         need = d + (2 if d <= PAIRED else 1)
@@ -190,45 +188,49 @@ def block_keys(s: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
-def local_groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, smallest id) of every key, and where in (keys, ids) those of several ids are, with their smallest id."""
+def local_groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, smallest id, whether it has others) of every key, and where in (keys, ids) the others are, with the smallest id."""
     order = np.lexsort((ids, keys))
     k, i = keys[order], ids[order]
     begin = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, np.int64)
     run = np.diff(np.append(begin, len(k)))
-    several = np.repeat(i[begin] != i[begin + run - 1], run)
-    return k[begin], i[begin], order[several], np.repeat(i[begin], run)[several]
+    low = np.repeat(i[begin], run)
+    others = i != low
+    return k[begin], i[begin], i[begin] != i[begin + run - 1], order[others], low[others]
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (p, id, lo, key) in the order of p; gives (key, id, lo), lo one member of the key's group.
 
-    Rows with lo are in a group already. The others are grouped by p, without those that are alone.
-    Only the last row is remembered from one batch to the next, so groups of any size stream through;
-    lo is the smallest id of a group that ends where it begins, so the keys of the same documents agree on it.
+    Rows with lo are in a group already. The others are grouped by p, without those that are alone, unless they
+    have a key, which says that a group of their own has been given. Only the last row is remembered from one batch
+    to the next, so groups of any size stream through; lo is the smallest id of a group that ends where it begins,
+    so the keys of the same documents agree on it.
     """
     before_p = before_id = np.zeros(0, np.int64)
+    before_has = np.zeros(0, bool)
     lo_now, told = 0, False
     for batch in batches:
         p, ids = (batch.column(i).to_numpy() for i in (0, 1))
-        done = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        done, has = (batch.column(i).is_valid().to_numpy(zero_copy_only=False) for i in (2, 3))
         grouped = [batch.column(i).filter(pa.array(done)) for i in (3, 1, 2)]
-        p, ids = p[~done], ids[~done]
+        p, ids, has = p[~done], ids[~done], has[~done]
         key, member, lo = (np.zeros(0, np.int64),) * 3
         if len(p):
-            p, ids = np.concatenate([before_p, p]), np.concatenate([before_id, ids])
+            p, ids, has = np.concatenate([before_p, p]), np.concatenate([before_id, ids]), np.concatenate([before_has, has])
             begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             size = np.diff(np.append(begin, len(p)))
             first = np.minimum.reduceat(ids, begin)
             if len(before_p) and told:
                 first[0] = lo_now  # the group goes on
             low = np.repeat(first, size)
-            several = np.repeat(size > 1, size)
+            give = np.repeat(size > 1, size) | has
+            last = bool(give[-1])
             if len(before_p) and told:
-                several[0] = False  # has been given
-            key, member, lo = p[several], ids[several], low[several]
-            told = bool(size[-1] > 1 or (len(begin) == 1 and len(before_p) and told))
-            lo_now, before_p, before_id = first[-1], p[-1:], ids[-1:]
+                give[0] = False  # has been given
+            key, member, lo = p[give], ids[give], low[give]
+            told = last or (len(p) == 1 and told)
+            lo_now, before_p, before_id, before_has = first[-1], p[-1:], ids[-1:], has[-1:]
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y)]) for x, y in zip(grouped, (key, member, lo), strict=True)], names=["key", "id", "lo"])
 
 
@@ -275,11 +277,11 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     def keyed(ids: pa.Array, t: Texts) -> list[pa.Array]:
         keys, owners = block_keys(*shingle_sets(t, words), percent)
         own = ids.to_numpy()[owners]
-        key, low, at, lo = local_groups(keys, own)
+        key, low, has, at, lo = local_groups(keys, own)
         none = pa.nulls(len(key), pa.int64())
         # what a run of documents groups by itself needs no other: it is dealt by key and id, so a hot key's rows are spread
         alone = mix(keys[at].view(np.uint64) ^ mix(own[at].view(np.uint64))).view(np.int64)
-        return [pa.array(np.concatenate([key, alone])), pa.array(np.concatenate([low, own[at]])), pa.concat_arrays([none, pa.array(lo)]), pa.concat_arrays([none, pa.array(keys[at])])]
+        return [pa.array(np.concatenate([key, alone])), pa.array(np.concatenate([low, own[at]])), pa.concat_arrays([none, pa.array(lo)]), pa.concat_arrays([pa.array(key, mask=~has), pa.array(keys[at])])]
 
     key_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("p", "id", "lo", "key")])
     keys = _rows(single.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keyed, key_schema)
@@ -307,21 +309,27 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
         found = pairs.join(incidence.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(incidence.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         found = found.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
         linked = found.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b", "overlap")
+        linked = materialize(linked, f"{name}-links")
+        release(pairs, incidence)
         # repeated rows of one id repeat links; distinct follows the table, as within its plan it would keep a hot id's join from being split
-        return materialize(linked, f"{name}-links").distinct()
+        return linked.distinct()
 
     star = shared.where("id <> lo").select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "na", "nb")
     links = verified(star, "star")
     comp = connected_components(links.select("a", "b"), "first")
-    labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    labelled = materialize(labelled, "labelled")
-    several = materialize(labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key"), "several")
-    labelled = labelled.join(several, "key", "left_semi").distinct()
-    x = labelled.select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(side("a"), "a")
-    y = labelled.select("key", F.col("id").alias("b"), F.col("component").alias("cb")).join(side("b"), "b")
-    across = x.join(y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
+    labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component"))
+    labelled_all = materialize(labelled, "labelled")
+    # a key's member is one row, so groups of two have been compared
+    groups = labelled_all.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    several = materialize(groups.where("n > 2 and c0 <> c1").select("key"), "several")
+    labelled = labelled_all.join(several, "key", "left_semi")
+    x = labelled.select("key", F.col("id").alias("a"), F.col("lo").alias("la"), F.col("component").alias("ca")).join(side("a"), "a")
+    y = labelled.select("key", F.col("id").alias("b"), F.col("lo").alias("lb"), F.col("component").alias("cb")).join(side("b"), "b")
+    compared = (F.col("la") == F.col("b")) | (F.col("lb") == F.col("a"))
+    across = x.join(y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~compared & alike)
     links = links.unionByName(verified(across.select("a", "b", "na", "nb").distinct(), "across"))
+    release(signs, reps, shared, labelled_all, several)
     return members, links
 
 

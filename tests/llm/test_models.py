@@ -207,3 +207,67 @@ def test_texts_of_no_learned_language_go(spark):
     assert {900, 901}.isdisjoint(kept) and len(kept) == len(rows) - 2
     assert kept[902].lang == "aa" and all(kept[i].lang == ("aa", "bb")[i % 2] for i in range(120))
     assert all(kept[i].text == t and kept[i].score == "s" for i, t, _, _ in rows if i in kept)
+
+
+def plain_proportions(model, text):
+    """The language model's prediction for one text, word by word and without arrays of n-grams."""
+    import math
+    import re
+
+    mask, p, buckets = (1 << 64) - 1, 0x9E3779B97F4A7C15, len(model.logp)
+
+    def bucket(raw):
+        x = sum((b + 1) * pow(p, i, 1 << 64) for i, b in enumerate(raw)) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return ((x ^ x >> 31) >> 20) % buckets
+
+    k = len(model.languages)
+    rows, grams = [], 0
+    for w in re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+        raw = w.encode()
+        if not any(65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in raw):
+            continue
+        own = b"<" + raw + b">"
+        found = [bucket(own[i : i + n]) for n in range(model.lo, model.hi + 1) for i in range(len(own) - n + 1)]
+        rows.append([sum(model.logp[f][j] for f in found) for j in range(k)])
+        grams += len(found)
+    above = sum(max(r) for r in rows) + grams * math.log(buckets)
+    rows = [[v * model.temper for v in r] for r in rows]
+    like = [[math.exp(max(v - max(r), -60)) for v in r] for r in rows]
+
+    def em(allowed):
+        pi = [1 / len(allowed) if j in allowed else 0.0 for j in range(k)]
+        for _ in range(model.rounds):
+            total = [0.0] * k
+            for r in like:
+                s = sum(a * b for a, b in zip(r, pi, strict=True))
+                for j in range(k):
+                    total[j] += r[j] * pi[j] / s
+            pi = [t / len(like) for t in total]
+        return pi, sum(math.log(max(sum(a * b for a, b in zip(r, pi, strict=True)), 1e-300)) for r in like)
+
+    alone = [sum(math.log(r[j]) for r in like) for j in range(k)]
+    first = max(range(k), key=lambda j: (alone[j], -j))
+    best, value = [float(j == first) for j in range(k)], alone[first]
+    order = sorted(range(k), key=lambda j, pi=em(range(k))[0]: (-pi[j], j))
+    for size in range(2, k + 1):
+        pi, score = em(order[:size])
+        score -= model.penalty * (size - 1) * math.log(len(like) + 1)
+        if score > value:
+            best, value = pi, score
+    return best, above
+
+
+def test_predictions_against_a_plain_version(spoken):
+    import pyarrow as pa
+
+    from convolake.llm.kernels import texts
+
+    model = langid.fit(langid.training_sample(spoken, 60), buckets=2048)
+    rows = ["abc", "ÉÈ fgh 12 abcde", prose("abcde", 30) + " " + prose("éèfgh", 25), prose("cdefg", 40) + "\n\t" + prose("abcde", 20) + " " + prose("éèfgh", 20), "漢字 xyz " * 5, prose("cde", 9)]
+    ((_, _, t),) = texts(pa.array(rows))
+    pi, above = model.judge(t)
+    for text, got, excess in zip(rows, pi, above, strict=True):
+        want, chance = plain_proportions(model, text)
+        assert got == pytest.approx(want, abs=1e-9) and excess == pytest.approx(chance, abs=1e-6)
