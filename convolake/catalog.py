@@ -18,6 +18,7 @@ from convolake.operators import evidence as V
 from convolake.operators import relational as R
 from convolake.operators import sessions as C
 from convolake.operators import vectors as N
+from convolake.plans import audits as A
 from convolake.plans import modeling as M
 from convolake.sources import tables as T
 from convolake.streaming import sessions as ST
@@ -61,7 +62,10 @@ def lines(t) -> DataFrame:
 
 
 def responses(t) -> DataFrame:
-    pairs = t("conversations").select(F.col("conv_id").alias("session_id")).distinct().select("session_id", F.explode(F.array(F.col("session_id") % 40, (F.col("session_id") + 7) % 40)).alias("objective_id"))
+    """Each conversation with two items of benchmark, dealt over all of them."""
+    n = F.broadcast(t("benchmark").agg(F.count("*").alias("_n")))  # one row
+    pairs = t("conversations").select(F.col("conv_id").alias("session_id")).distinct().crossJoin(n)
+    pairs = pairs.select("session_id", F.explode(F.array_distinct(F.array(F.col("session_id") % F.col("_n"), (F.col("session_id") + 7) % F.col("_n")))).alias("objective_id"))
     return pairs.join(t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective")), "objective_id")
 
 
@@ -205,14 +209,14 @@ def neighbor_expansion(s):
     return V.neighbours(s, S.K, S.BUDGETS.radius).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("priority").cast("long").alias("priority"))
 
 
-@evidence(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY priority, ord) AS rn, ord, rendered AS text FROM near JOIN s USING (session_id, objective_id, ord)", S.BUDGETS.context, 1, "objective_context"), recursive=True)
+@evidence(S.greedy(S.CONTEXT_ITEMS, S.BUDGETS.context, 1, "objective_context"), recursive=True)
 def budget_select_context(s):
     return V.context(s, S.BUDGETS)
 
 
-@evidence(S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rank, ord) AS rn, ord, rendered AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0 AND role = 'student')" + f" WHERE rank <= {S.K}", S.BUDGETS.role, 1, "role_text"), recursive=True)
+@evidence(S.role_texts(), recursive=True)
 def budget_role_text(s):
-    return V.role_texts(s, S.BUDGETS).where("role = 'student'").drop("role")
+    return V.role_texts(s, S.BUDGETS)
 
 
 @evidence(S.EDGES)
@@ -230,9 +234,14 @@ def feedback_windows(s):
     return V.windows(s, S.BUDGETS.max_gap, "feedback").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
 
 
-@evidence(S.windows("feedback") + S.greedy("SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY score DESC, start, text) AS rn, start AS ord, text FROM win", S.BUDGETS.window, 2, "windows_text"), recursive=True)
+@evidence(S.windows("feedback") + S.greedy(S.WINDOW_ITEMS, S.BUDGETS.window, 2, "windows_text"), recursive=True)
 def budget_windows(s):
-    return V.select_windows(V.windows(s, S.BUDGETS.max_gap, "feedback"), S.BUDGETS.window)
+    return V.select_windows(V.windows(s, S.BUDGETS.max_gap, "feedback"), S.BUDGETS.window, s)
+
+
+@query(S.scored(S.response_texts(), recursive=True))
+def response_texts(t):
+    return V.response_texts(scored(t), views(t), S.BUDGETS)
 
 
 # ---- dense features --------------------------------------------------------------------------
@@ -260,9 +269,14 @@ def dense_deltas(t):
     return d.select("session_id", *[c for c in d.columns if c.endswith("_minus_early")])
 
 
-@query()
+@query(S.scored(S.dense_all(), recursive=True))
 def dense_all(t):
-    return D.dense_features(scored_all(t), S.BUDGETS)
+    return D.dense_features(scored(t), lines(t), S.BUDGETS)
+
+
+@query(S.scored_all(S.dense_all(), recursive=True))
+def dense_all_x_benchmark(t):
+    return D.dense_features(scored_all(t), lines(t), S.BUDGETS)
 
 
 # ---- action graph ----------------------------------------------------------------------------
@@ -280,7 +294,17 @@ def graph_counts(t):
 @query(S.lines(S.ACTIONS + S.GRAPH_RUNS))
 def graph_runs(t):
     d = actions(t)
-    return G.longest_run(d, F.array_contains("actions", "hint"), "hint_depth").join(G.longest_run(d, F.array_contains("actions", "correction"), "correction_chain_length"), "session_id").join(G.flips(d, F.array_contains("toks", "the"), "concept_transition_count"), "session_id")
+    return G.longest_run(d, F.arrays_overlap("actions", F.array(F.lit("hint"), F.lit("question"))), "hint_depth").join(G.longest_run(d, F.array_contains("actions", "correction"), "correction_chain_length"), "session_id")
+
+
+@query(S.scored(S.CONCEPTS + " SELECT * FROM ct"))
+def concept_transitions(t):
+    return G.concept_transitions(lines(t), responses(t), STOPWORDS)
+
+
+@query(S.scored(S.graph_all()))
+def graph_all(t):
+    return G.response_graph(lines(t), actions(t), responses(t), STOPWORDS)
 
 
 @query(S.EVENT_RUNS)
@@ -309,7 +333,7 @@ def graph_thirds(t):
 
 @query("SELECT d.doc_id, lang, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 def one_to_one_join(t):
-    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id")
+    return R.one_to_one(t("documents").select("doc_id", "lang"), t("labels"), "doc_id")
 
 
 @query("SELECT doc_id, 'left' AS side FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -359,9 +383,10 @@ def distinct_role_texts(t):
     return t("conversations").select("role", "text").distinct()
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey, unnest(['F', 'O', 'P']) AS status FROM customer EXCEPT SELECT o_custkey, o_orderstatus FROM orders")
 def set_difference(t):
-    return t("customer").select("c_custkey").subtract(t("orders").select("o_custkey"))
+    every = t("customer").select("c_custkey", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))).alias("status"))
+    return every.subtract(t("orders").select("o_custkey", "o_orderstatus"))
 
 
 @query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events) WHERE rank <= 3")
@@ -395,12 +420,37 @@ def fold_purge(t):
     return E.splits(d, E.snake_folds(d, "grp", "y", 5), "grp", "session", 0).groupBy("split").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 
-@query(S.FOLDS + " SELECT 0::BIGINT AS n_shared")
+@query(S.ISOLATION)
 def fold_isolation(t):
+    """Sessions and groups that train and validation share, after the purge and before it."""
     d = probabilities(t)
     s = E.splits(d, E.snake_folds(d, "grp", "y", 5), "grp", "session", 0)
-    shared = [s.where("split = 'train'").select(F.col(c).cast("string")).intersect(s.where("split = 'validation'").select(F.col(c).cast("string"))) for c in ("session", "grp")]
-    return shared[0].union(shared[1]).agg(F.count("*").alias("n_shared"))
+    before = E.isolation_faults(s.withColumn("split", F.when(F.col("split") == "purged", "train").otherwise(F.col("split"))), "session", "grp").withColumnRenamed("n_shared", "n_before")
+    return E.isolation_faults(s, "session", "grp").join(before, "key")
+
+
+@query(S.folds_of("substr(p_brand, 1, 7)") + S.SPLIT + " SELECT split, count(*)::BIGINT AS n, sum(y)::BIGINT AS pos FROM sp GROUP BY split")
+def family_folds(t):
+    d = probabilities(t)
+    families = d.select("grp", F.substring("grp", 1, 7).alias("family")).distinct()
+    f = E.family_folds(d, families, "grp", "y", 5)
+    return E.splits(f.drop("fold"), f.select("family", "fold").distinct(), "family", "session", 0).groupBy("split").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+
+
+@query(S.folds_of("l_orderkey") + " SELECT fold, count(*)::BIGINT AS n_groups, sum(size)::BIGINT AS n, sum(pos)::BIGINT AS pos FROM folds GROUP BY fold")
+def session_folds(t):
+    return E.snake_folds(probabilities(t), "session", "y", 5).groupBy("fold").agg(F.count("*").alias("n_groups"), F.sum("size").alias("n"), F.sum("pos").alias("pos"))
+
+
+@query()
+def stratified_folds(t):
+    return E.stratified_folds(probabilities(t), "grp", "y", 5)
+
+
+@query()
+def nested_platt(t):
+    d = labelled_vectors(t).select("vec_id", "grp", "session", "y", (0.1 + 0.8 / (1 + F.exp(-F.get("embedding", F.lit(1)).cast("double") * 4))).alias("p"))
+    return M.nested_platt(d, E.snake_folds(d, "grp", "y", 3), "grp", "session", "p", "y", 3).select("vec_id", "fold", "calibrated")
 
 
 @query(S.FOLDS + " SELECT fold, round(avg(y), 6) AS prior FROM p JOIN folds USING (grp) GROUP BY fold")
@@ -513,6 +563,68 @@ def labelled_vectors(t) -> DataFrame:
     return t("embeddings").select("vec_id", F.col("label").cast("string").alias("grp"), F.expr("vec_id div 4").alias("session"), (F.get("embedding", F.lit(0)) > 0).cast("int").alias("y"), "embedding")
 
 
+@query(S.GATHERED + " SELECT vec_id, 259::BIGINT AS width, round(list_sum(list_transform(list_zip(c, o), lambda p: p[1] * p[2])), 6) AS cosine, label::DOUBLE AS first_dense, (vec_id % 7)::DOUBLE AS last_dense FROM g")
+def semantic_interactions_dense(t):
+    m = gathered(t).select("vec_id", N.interactions(F.col("c"), F.col("o"), F.array(F.col("label").cast("double"), (F.col("vec_id") % 7).cast("double"))).alias("m"))
+    return m.select("vec_id", F.size("m").cast("long").alias("width"), F.get("m", F.lit(256)).alias("cosine"), F.get("m", F.lit(257)).alias("first_dense"), F.get("m", F.lit(258)).alias("last_dense"))
+
+
+def _objectives(t) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective"))
+
+
+@query(S.response_hashes({"full_text": 1 << 19}, 1 << 16))
+def full_text_hash(t):
+    return N.response_hashes(responses(t), views(t), _objectives(t), {"full_text": 1 << 19}, 1 << 16)
+
+
+@query(S.response_hashes({"tutor_text": 1 << 18, "student_text": 1 << 18}, 1 << 16))
+def role_text_hash(t):
+    return N.response_hashes(responses(t), views(t), _objectives(t), {"tutor_text": 1 << 18, "student_text": 1 << 18}, 1 << 16)
+
+
+@query("SELECT o_orderkey AS k, bucket, value FROM (SELECT o_orderkey, o_custkey % 8 AS bucket, 1::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, 8, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 6) FROM orders)")
+def append_scaled_dense(t):
+    o = t("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 8).alias("bucket"), F.lit(1.0).alias("value"), "o_totalprice")
+    return N.append_dense(o.select("k", "bucket", "value"), o.select("k", "o_totalprice"), ["k"], ["o_totalprice"], 8)
+
+
+@query()
+def encode_objectives(t):
+    e = N.encode_once(_objectives(t), "objective_id", "objective", N.hashing_encoder(16), 16)
+    return e.select("objective_id", N.dot(F.col("vector"), F.col("vector")).alias("norm"), F.get("vector", F.lit(0)).cast("double").alias("first"))
+
+
+@query(f"SELECT ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 64 AS part, count(*)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY o_orderkey)) AS digest FROM (SELECT o_orderkey, sha256(concat({S.field('o_orderkey')}, {S.field('o_custkey')}, {S.field('o_orderstatus')})) AS h FROM orders) GROUP BY 1")
+def table_digests(t):
+    return A.table_digest(t("orders"), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
+@query("SELECT count(*) FILTER (WHERE r.k IS NULL)::BIGINT AS only_left, count(*) FILTER (WHERE l.k IS NULL)::BIGINT AS only_right, count(*) FILTER (WHERE l.s <> r.s)::BIGINT AS different, count(*) FILTER (WHERE l.s = r.s)::BIGINT AS same FROM (SELECT c_custkey AS k, c_mktsegment AS s FROM customer WHERE c_acctbal > 0) l FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_nationkey = 3 THEN 'other' ELSE c_mktsegment END AS s FROM customer WHERE c_acctbal < 9000) r ON l.k = r.k")
+def table_parity(t):
+    c = t("customer")
+    return A.parity(c.where("c_acctbal > 0"), c.where("c_acctbal < 9000").withColumn("c_mktsegment", F.when(F.col("c_nationkey") == 3, "other").otherwise(F.col("c_mktsegment"))), "c_custkey", ["c_mktsegment"])
+
+
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT event_id)::BIGINT AS n_distinct, min(event_id) AS lowest, max(event_id) AS highest, count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AS contiguous FROM events")
+def contiguous_ids(t):
+    return A.contiguous(t("events"), "event_id")
+
+
+@query("SELECT unnest(['l_quantity', 'l_tax']) AS column_name, unnest([count(*) FILTER (WHERE l_quantity IS NULL OR NOT isfinite(l_quantity)), count(*) FILTER (WHERE l_tax IS NULL OR NOT isfinite(l_tax))])::BIGINT AS n_bad FROM lineitem")
+def finite_columns(t):
+    return A.finite_report(t("lineitem"), ["l_quantity", "l_tax"])
+
+
+@query("SELECT unnest(['response without view', 'view without lines', 'lines without view', 'line counts differ', 'characters differ', 'repeated sessions']) AS \"check\", unnest([0, 0, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 3 = 0), (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id HAVING count(*) FILTER (WHERE turn > 0) <> count(*))), (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id HAVING sum(length(text)) FILTER (WHERE turn > 0) <> sum(length(text)))), 0])::BIGINT AS n_bad")
+def view_audit(t):
+    """An audit that has something to find: views that lack a third of the sessions, over transcripts that lost their first lines."""
+    v = views(t).where("session_id % 3 <> 0")
+    tr = C.transcript(t("conversations"))
+    kept = tr.where(F.col("utterance_id").cast("long") > 0)
+    return A.view_audit(v.select("session_id"), v, kept)
+
+
 @query()
 def lr_head_oof(t):
     return M.out_of_fold(labelled_vectors(t), "embedding", "y", "grp", "session").select("vec_id", "fold", "y", "probability")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from convolake.functions.lexicon import CORRECTION_PATTERN, FEEDBACK_PATTERN, QUESTION_STARTERS, STOPWORDS, UNCLEAR_PATTERN, Budgets, Lexicon
 from convolake.functions.text import SPACES, TOKEN
 
@@ -82,7 +84,7 @@ def lines(rest: str) -> str:
 
 
 SCORED = f"""{LINES}, {OBJECTIVES},
-resp AS (SELECT DISTINCT session_id, objective_id FROM (SELECT conv_id AS session_id, unnest([conv_id % 40, (conv_id + 7) % 40]) AS objective_id FROM conversations)),
+resp AS (SELECT DISTINCT session_id, objective_id FROM (SELECT conv_id AS session_id, unnest([conv_id % items, (conv_id + 7) % items]) AS objective_id FROM conversations, (SELECT count(*) AS items FROM benchmark))),
 s0 AS (SELECT l.*, r.objective_id, o.obj, list_distinct(o.obj) AS uniq FROM lines l JOIN resp r USING (session_id) JOIN objectives o USING (objective_id)),
 s AS (SELECT *, CASE WHEN len(toks) = 0 OR len(obj) = 0 THEN 0::DOUBLE ELSE 0.8::DOUBLE * len(list_filter(uniq, lambda x: list_contains(toks, x))) / len(uniq)
   + 0.2::DOUBLE * list_sum(list_transform(uniq, lambda x: least(len(list_filter(toks, lambda y: y = x)), len(list_filter(obj, lambda y: y = x))))) / len(obj) END AS ovl FROM s0),
@@ -94,7 +96,7 @@ def scored(rest: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{SCORED} {rest}"
 
 
-_PAIRED = "unnest([conv_id % 40, (conv_id + 7) % 40]) AS objective_id FROM conversations"
+_PAIRED = "unnest([conv_id % items, (conv_id + 7) % items]) AS objective_id FROM conversations, (SELECT count(*) AS items FROM benchmark)"
 assert _PAIRED in SCORED
 #: The same over every conversation with every item of benchmark.
 SCORED_ALL = SCORED.replace(_PAIRED, "item_id AS objective_id FROM conversations, benchmark")
@@ -112,7 +114,27 @@ def greedy(items: str, budget: int, separator: int, name: str) -> str:
     CASE WHEN done IS NULL AND i.text <> '' AND NOT take AND len(sel) = 0 THEN substr(i.text, 1, {budget}) ELSE done END
   FROM (SELECT g.*, i.ord AS io, i.text AS it, i.rn AS irn, length(i.text) + CASE WHEN len(sel) > 0 THEN {separator} ELSE 0 END AS cost, done IS NULL AND i.text <> '' AND used + length(i.text) + CASE WHEN len(sel) > 0 THEN {separator} ELSE 0 END <= {budget} AS take FROM g JOIN items i ON g.session_id = i.session_id AND g.objective_id = i.objective_id AND i.rn = g.rn + 1) g
   JOIN items i ON i.session_id = g.session_id AND i.objective_id = g.objective_id AND i.rn = g.irn)
-SELECT session_id, objective_id, coalesce(done, array_to_string(list_transform(list_sort(sel), lambda x: x.text), chr(10))) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rn DESC) AS z FROM g) WHERE z = 1"""
+SELECT session_id, objective_id, coalesce({name}, '') AS {name} FROM (SELECT DISTINCT session_id, objective_id FROM s) LEFT JOIN (SELECT session_id, objective_id, coalesce(done, array_to_string(list_transform(list_sort(sel), lambda x: x.text), chr(10))) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rn DESC) AS z FROM g) WHERE z = 1) USING (session_id, objective_id)"""
+
+
+def chosen(items: str, budget: int, separator: int, name: str) -> str:
+    """The same as a relation NAME_t, whose helpers have names of their own."""
+    out = _as(greedy(items, budget, separator, name), f"{name}_t")
+    return re.sub(r"\bg\b", f"g_{name}", re.sub(r"\bitems\b", f"items_{name}", out))
+
+
+def _as(text: str, name: str, start: str = "\nSELECT ") -> str:
+    """Relations and a last SELECT as relations alone, the last one called name."""
+    before, last = text.rsplit(start, 1)
+    return f"{before}, {name} AS (SELECT {start.split('SELECT ', 1)[1]}{last})"
+
+
+CONTEXT_ITEMS = "SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY priority, ord) AS rn, ord, rendered AS text FROM near JOIN s USING (session_id, objective_id, ord)"
+WINDOW_ITEMS = "SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY score DESC, start, text) AS rn, start AS ord, text FROM win"
+
+
+def role_items(role: str) -> str:
+    return f"SELECT session_id, objective_id, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY rank, ord) AS rn, ord, rendered AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ovl DESC, ord) AS rank FROM s WHERE ovl > 0 AND role = '{role}') WHERE rank <= {K}"
 
 
 def _chunks(x: str) -> str:
@@ -122,7 +144,7 @@ def _chunks(x: str) -> str:
 
 EDGES = f""", e AS (SELECT *, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ord) AS a, row_number() OVER (PARTITION BY session_id, objective_id ORDER BY ord DESC) AS z FROM s WHERE ne),
 j AS (SELECT session_id, objective_id, coalesce(string_agg(rendered, chr(10) ORDER BY ord) FILTER (WHERE a <= {BUDGETS.edge_lines}), '') AS o, coalesce(string_agg(rendered, chr(10) ORDER BY ord) FILTER (WHERE z <= {BUDGETS.edge_lines}), '') AS c FROM e GROUP BY ALL)
-SELECT session_id, objective_id, {_chunks('o')} AS opening, {_chunks('c')} AS closing FROM j"""
+SELECT session_id, objective_id, coalesce({_chunks('o')}, '') AS opening, coalesce({_chunks('c')}, '') AS closing FROM (SELECT DISTINCT session_id, objective_id FROM s) LEFT JOIN j USING (session_id, objective_id)"""
 
 
 def windows(kind: str) -> str:
@@ -130,6 +152,24 @@ def windows(kind: str) -> str:
     return f""", pairs AS (SELECT a.session_id, a.objective_id, a.ord AS start, b.ord AS stop, a.ovl + b.ovl AS score, a.rendered || chr(10) || b.rendered AS text, row_number() OVER (PARTITION BY a.session_id, a.objective_id, a.ord ORDER BY b.ord) AS z FROM s a JOIN s b ON a.session_id = b.session_id AND a.objective_id = b.objective_id AND b.ord BETWEEN a.ord + 1 AND a.ord + {BUDGETS.max_gap} WHERE {start} AND {stop}), win AS (SELECT * EXCLUDE z FROM pairs WHERE z = 1)"""
 
 
+def windows_named(kind: str) -> str:
+    return re.sub(r"\bwin\b", f"win_{kind}", re.sub(r"\bpairs\b", f"pairs_{kind}", windows(kind)))
+
+
+def role_texts() -> str:
+    parts = "".join(chosen(role_items(r), BUDGETS.role, 1, f"{r}_relevant") for r in ("tutor", "student"))
+    return parts + " SELECT * FROM tutor_relevant_t JOIN student_relevant_t USING (session_id, objective_id)"
+
+
+def response_texts() -> str:
+    parts = chosen(CONTEXT_ITEMS, BUDGETS.context, 1, "objective_context") + "".join(chosen(role_items(r), BUDGETS.role, 1, f"{r}_relevant") for r in ("tutor", "student"))
+    for kind in ("qa", "feedback"):
+        parts += windows_named(kind) + chosen(WINDOW_ITEMS.replace("FROM win", f"FROM win_{kind}"), BUDGETS.window, 2, f"{kind}_text")
+    parts += _as(EDGES, "edges_t")
+    joins = "".join(f" JOIN {n}_t USING (session_id, objective_id)" for n in ("objective_context", "tutor_relevant", "student_relevant", "qa_text", "feedback_text", "edges"))
+    return parts + f" SELECT resp.session_id, resp.objective_id, b.text AS learning_objective, full_text, tutor_text, student_text, objective_context, tutor_relevant, student_relevant, qa_text, feedback_text, opening, closing FROM resp JOIN benchmark b ON b.item_id = resp.objective_id JOIN ({views('session_id, full_text, tutor_text, student_text')}) USING (session_id){joins}"
+
+
 def r6(x: str) -> str:
     return f"round(({x})::DOUBLE, 6)"
 
@@ -186,6 +226,14 @@ def dense_segments(deltas: bool = False) -> str:
     return f", t AS (SELECT *, ntile(3) OVER (PARTITION BY session_id ORDER BY ord) AS t FROM lines), g AS (SELECT session_id, {', '.join(parts)} FROM t GROUP BY session_id) SELECT session_id, {', '.join(out)} FROM g"
 
 
+def dense_all() -> str:
+    seg, delta = (dense_segments(d).rsplit(" SELECT session_id, ", 1) for d in (False, True))
+    parts = _as(DENSE_MATCH, "dm") + _as(DENSE_VOLUME, "dv") + f"{seg[0]}, ds AS (SELECT session_id, {seg[1]}), dd AS (SELECT session_id, {delta[1]})" + chosen(CONTEXT_ITEMS, BUDGETS.context, 1, "objective_context")
+    counts = "".join(windows_named(k) + f", n_{k} AS (SELECT session_id, objective_id, count(*)::DOUBLE AS n FROM win_{k} GROUP BY ALL)" for k in ("qa", "feedback"))
+    return parts + counts + f""" SELECT dm.*, {ratio('length(objective_context)', str(BUDGETS.context))} AS selected_context_char_ratio, dv.* EXCLUDE session_id, ds.* EXCLUDE session_id, dd.* EXCLUDE session_id, coalesce(n_qa.n, 0) AS qa_window_count, coalesce(n_feedback.n, 0) AS feedback_window_count
+FROM dm JOIN objective_context_t USING (session_id, objective_id) JOIN dv USING (session_id) JOIN ds USING (session_id) JOIN dd USING (session_id) LEFT JOIN n_qa USING (session_id, objective_id) LEFT JOIN n_feedback USING (session_id, objective_id)"""
+
+
 _LABELS = {
     "tutor": (("hint", phrase(LEX.hint)), ("question", "q"), ("direct_explanation", phrase(LEX.explanation)), ("correction", "co"), ("feedback", "fb")),
     "student": (("reasoning", phrase(LEX.action_reasoning)), ("uncertainty", phrase(LEX.action_uncertainty)), ("confidence", phrase(LEX.confidence))),
@@ -194,7 +242,7 @@ _PICKED = " ".join(f"WHEN role = '{r}' THEN list_filter([{', '.join(f'CASE WHEN
 ACTIONS = f""", a0 AS (SELECT *, CASE {_PICKED} ELSE [] END AS found, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS idx FROM lines WHERE ne),
 a AS (SELECT session_id, idx, role, toks, CASE WHEN len(found) > 0 THEN found ELSE ['other'] END AS actions FROM a0)"""
 _TUTOR = "['hint', 'question', 'direct_explanation', 'correction', 'feedback']"
-GRAPH_COUNTS = f""" SELECT session_id, {_count("list_contains(actions, 'hint')")}::BIGINT AS hint_count, {_count(f"role = 'tutor' AND list_has_any(actions, {_TUTOR})")}::BIGINT AS tutor_intervention_count,
+GRAPH_COUNTS = f""" SELECT session_id, {_count("list_contains(actions, 'hint')")}::BIGINT AS hint_count, {_count("list_has_any(actions, ['hint', 'question', 'correction'])")}::BIGINT AS tutor_intervention_count,
   len(list_filter(list_distinct(flatten(list(actions))), lambda x: list_contains({_TUTOR}, x)))::BIGINT AS strategy_diversity FROM a GROUP BY session_id"""
 
 
@@ -206,14 +254,15 @@ def _flip(flag: str, table: str = "a") -> str:
     return f"(SELECT session_id, {_count('f <> g')}::BIGINT AS n FROM (SELECT session_id, {flag} AS f, lag({flag}) OVER (PARTITION BY session_id ORDER BY idx) AS g FROM {table}) GROUP BY session_id)"
 
 
-GRAPH_RUNS = " SELECT h.session_id, h.n AS hint_depth, c.n AS correction_chain_length, x.n AS concept_transition_count FROM " + _run("list_contains(actions, 'hint')") + " h JOIN " + _run("list_contains(actions, 'correction')") + " c USING (session_id) JOIN " + _flip("list_contains(toks, 'the')") + " x USING (session_id)"
+_DEPTH = "list_has_any(actions, ['hint', 'question'])"
+GRAPH_RUNS = f" SELECT h.session_id, h.n AS hint_depth, c.n AS correction_chain_length FROM {_run(_DEPTH)} h JOIN {_run("list_contains(actions, 'correction')")} c USING (session_id)"
 EVENT_RUNS = "WITH e AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, event_type FROM events) SELECT r.session_id, r.n AS longest_clicks, f.n AS n_flips FROM " + _run("event_type = 'click'", "e") + " r JOIN " + _flip("event_type = 'click'", "e") + " f USING (session_id)"
 GRAPH_EDGES = f""", p AS (SELECT session_id, lag(actions) OVER (PARTITION BY session_id ORDER BY idx) AS prev, actions FROM a), e0 AS (SELECT session_id, unnest(prev) AS src, actions FROM p WHERE prev IS NOT NULL),
 e AS (SELECT DISTINCT session_id, src, dst FROM (SELECT session_id, src, unnest(actions) AS dst FROM e0) WHERE src <> dst), d AS (SELECT session_id, src, count(*) AS deg FROM e GROUP BY ALL), x AS (SELECT session_id, sum(deg) AS edges, max(deg) AS top FROM d GROUP BY session_id),
 n AS (SELECT session_id, count(DISTINCT act) AS nodes FROM (SELECT session_id, unnest(actions) AS act FROM a) GROUP BY session_id)
 SELECT session_id, nodes::BIGINT AS node_count, coalesce(edges, 0)::BIGINT AS edge_count, {ratio('coalesce(edges, 0)', 'nodes * (nodes - 1)')} AS density, {ratio('coalesce(edges, 0)', 'nodes')} AS mean_node_degree, coalesce(top, 0)::DOUBLE AS max_node_degree FROM n LEFT JOIN x USING (session_id)"""
 GRAPH_PERSISTENCE = f""", w AS (SELECT *, coalesce(max(CASE WHEN list_contains(actions, 'feedback') OR list_contains(actions, 'correction') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 0) AS answered,
-  coalesce(max(CASE WHEN list_contains(actions, 'correction') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM a)
+  coalesce(max(CASE WHEN list_contains(actions, 'correction') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS after FROM a)
 SELECT session_id, {_count("list_contains(actions, 'uncertainty') AND after = 1")}::BIGINT AS misconception_persistence, {_count("list_contains(actions, 'uncertainty') AND answered = 0")}::BIGINT AS unresolved_misconception_count FROM w GROUP BY session_id"""
 
 
@@ -225,6 +274,17 @@ def _change(name: str) -> str:
 GRAPH_THIRDS = f""", t AS (SELECT *, ntile(3) OVER (PARTITION BY session_id ORDER BY idx) AS t FROM a WHERE role = 'student'), c AS (SELECT session_id, {_change('reasoning')} AS r, {_change('confidence')} AS k FROM t GROUP BY session_id)
 SELECT session_id, {r6('coalesce(r, 0)')} AS reasoning_improvement_score, {r6('coalesce(k, 0)')} AS confidence_change FROM (SELECT DISTINCT session_id FROM a) LEFT JOIN c USING (session_id)"""
 
+CONCEPTS = """, ct AS (SELECT session_id, objective_id, count(*) FILTER (WHERE f <> g)::BIGINT AS concept_transition_count FROM (SELECT l.session_id, r.objective_id, list_has_any(l.toks, o.k) AS f,
+  lag(list_has_any(l.toks, o.k)) OVER (PARTITION BY l.session_id, r.objective_id ORDER BY l.ord) AS g FROM lines l JOIN resp r USING (session_id) JOIN o1 o ON o.item_id = r.objective_id WHERE ne) GROUP BY ALL)"""
+
+
+def graph_all() -> str:
+    names = ("hint_count", "hint_depth", "strategy_diversity", "correction_chain_length", "tutor_intervention_count", "concept_transition_count", "reasoning_improvement_score", "confidence_change", "misconception_persistence", "unresolved_misconception_count", "density", "mean_node_degree", "max_node_degree", "node_count")
+    parts = ACTIONS + f", gc AS ({GRAPH_COUNTS}), gr AS ({GRAPH_RUNS})" + _as(GRAPH_PERSISTENCE, "gp") + _as(GRAPH_THIRDS, "gt") + _as(GRAPH_EDGES, "ge") + CONCEPTS
+    joins = "".join(f" LEFT JOIN {t} USING (session_id)" for t in ("gc", "gr", "gp", "gt", "ge"))
+    return parts + f" SELECT resp.session_id, resp.objective_id, {', '.join(f'coalesce({n}, 0)::DOUBLE AS graph_{n}' for n in names)} FROM resp{joins} LEFT JOIN ct USING (session_id, objective_id)"
+
+
 PROFILE = "SELECT column_name, n_rows, n_missing FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS column_name, n::BIGINT AS n_rows, unnest(m)::BIGINT AS n_missing FROM (SELECT count(*) AS n, [count(*) - count(event_id), count(*) - count(ts), count(*) - count(user_id), count(*) - count(event_type), count(*) - count(value), count(*) - count(props)] AS m FROM events))"
 
 PROBS = "WITH p AS (SELECT l_orderkey AS session, p_brand AS grp, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, 0.05::DOUBLE + l_discount * 9 AS p1, l_tax * 10 + 0.1::DOUBLE AS p2, l_quantity / 51 AS p3 FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -260,3 +320,31 @@ d AS (SELECT e.vec_id, cluster, embedding, list_sum(list_transform(list_zip(embe
 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS z FROM d) WHERE z = 1),
 x AS (SELECT cluster, unnest(range(0, 64))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM a)
 SELECT cluster, dim, round(avg(x), 6) AS mean, count(*)::BIGINT AS n FROM x GROUP BY ALL"""
+
+
+def _hashed(key: str, column: str, table: str, n: int, offset: int) -> str:
+    return rf"""(WITH t AS (SELECT {key}, regexp_extract_all(strip_accents(lower({column})), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM {table}), g AS (SELECT {key}, unnest(t) AS g FROM t UNION ALL SELECT {key}, unnest(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || ' ' || p[2])) FROM t WHERE len(t) > 1),
+c AS (SELECT {key}, ('0x' || substr(md5(g), 1, 8))::BIGINT % {n} AS bucket, count(*)::DOUBLE AS c FROM g GROUP BY ALL) SELECT {key}, bucket + {offset} AS bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY {key})), 6) AS value FROM c)"""
+
+
+def response_hashes(sizes: dict[str, int], objective_size: int) -> str:
+    parts, offset = [], 0
+    for name, n in sizes.items():
+        parts.append(f"SELECT session_id, objective_id, bucket, value FROM resp JOIN {_hashed('session_id', name, 'vw', n, offset)} USING (session_id)")
+        offset += n
+    parts.append(f"SELECT session_id, objective_id, bucket, value FROM resp JOIN {_hashed('objective_id', 'objective', 'ob', objective_size, offset)} USING (objective_id)")
+    resp = f"SELECT DISTINCT session_id, objective_id FROM (SELECT conv_id AS session_id, {_PAIRED})"
+    return f"WITH resp AS ({resp}), vw AS ({views('session_id, full_text, tutor_text, student_text')}), ob AS (SELECT item_id AS objective_id, text AS objective FROM benchmark) " + " UNION ALL ".join(parts)
+
+
+def folds_of(group: str) -> str:
+    """FOLDS over other groups."""
+    return FOLDS.replace("p_brand AS grp", f"{group} AS grp")
+
+
+SPLIT = ", sp AS (SELECT p.*, CASE WHEN fold = 0 THEN 'validation' WHEN session IN (SELECT session FROM p JOIN folds USING (grp) WHERE fold = 0) THEN 'purged' ELSE 'train' END AS split FROM p JOIN folds USING (grp))"
+ISOLATION = FOLDS + SPLIT + " SELECT k AS key, (SELECT count(*) FROM (SELECT CASE k WHEN 'session' THEN session::VARCHAR ELSE grp END AS v FROM sp WHERE split <> 'purged' GROUP BY v HAVING count(DISTINCT split) > 1))::BIGINT AS n_shared, (SELECT count(*) FROM (SELECT CASE k WHEN 'session' THEN session::VARCHAR ELSE grp END AS v FROM sp GROUP BY v HAVING count(DISTINCT split = 'validation') > 1))::BIGINT AS n_before FROM (SELECT unnest(['session', 'grp']) AS k)"
+
+
+def field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-1:' ELSE length({x}::VARCHAR) || ':' || {x} END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convolake.functions.lexicon import Lexicon
-from convolake.functions.text import has_phrase, ratio
+from convolake.functions.text import has_phrase, ratio, tokens, without
 
 KEY = "session_id"
 TUTOR_ACTIONS = ("hint", "question", "direct_explanation", "correction", "feedback")
@@ -30,11 +30,11 @@ def _has(name: str) -> Column:
 
 
 def action_counts(d: DataFrame) -> DataFrame:
-    """Hints, interventions (tutor lines that carry an action) and distinct tutor actions."""
+    """Hints, interventions (hints, questions or corrections) and distinct tutor actions."""
     tutor = F.array(*[F.lit(a) for a in TUTOR_ACTIONS])
     return d.groupBy(KEY).agg(
         F.count_if(_has("hint")).cast("long").alias("hint_count"),
-        F.count_if((F.col("role") == "tutor") & (F.size(F.array_intersect("actions", tutor)) > 0)).cast("long").alias("tutor_intervention_count"),
+        F.count_if(_has("hint") | _has("question") | _has("correction")).cast("long").alias("tutor_intervention_count"),
         F.size(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("actions", tutor))))).cast("long").alias("strategy_diversity"),
     )
 
@@ -56,7 +56,7 @@ def persistence(d: DataFrame, gap: int = 4) -> DataFrame:
     """Uncertain lines after a correction, and uncertain lines that nothing answers within the gap."""
     w = Window.partitionBy(KEY).orderBy("at")
     answered = F.max((_has("feedback") | _has("correction")).cast("int")).over(w.rowsBetween(1, gap))
-    after = F.max(_has("correction").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.max(_has("correction").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("_a", F.coalesce(answered, F.lit(0))).withColumn("_b", F.coalesce(after, F.lit(0)))
     return d.groupBy(KEY).agg(F.count_if(_has("uncertainty") & (F.col("_b") == 1)).cast("long").alias("misconception_persistence"), F.count_if(_has("uncertainty") & (F.col("_a") == 0)).cast("long").alias("unresolved_misconception_count"))
 
@@ -88,3 +88,35 @@ def graph_shape(d: DataFrame) -> DataFrame:
     g = nodes.join(out, KEY, "left").na.fill(0)
     pairs = F.col("node_count") * (F.col("node_count") - 1)
     return g.select(KEY, F.col("node_count").cast("long").alias("node_count"), F.col("edge_count").cast("long").alias("edge_count"), ratio(F.col("edge_count"), pairs).alias("density"), ratio(F.col("edge_count"), F.col("node_count")).alias("mean_node_degree"), F.col("max_node_degree").cast("double").alias("max_node_degree"))
+
+
+#: The features of a session that don't depend on the objective, and the one that does.
+FEATURES = (
+    "hint_count", "hint_depth", "strategy_diversity", "correction_chain_length", "tutor_intervention_count", "concept_transition_count", "reasoning_improvement_score",
+    "confidence_change", "misconception_persistence", "unresolved_misconception_count", "density", "mean_node_degree", "max_node_degree", "node_count",
+)
+
+
+def session_graph(d: DataFrame) -> DataFrame:
+    """The thirteen features of every session with a line."""
+    parts = [action_counts(d), longest_run(d, _has("hint") | _has("question"), "hint_depth"), longest_run(d, _has("correction"), "correction_chain_length"), persistence(d), thirds(d), graph_shape(d)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, KEY)
+    return out
+
+
+def concept_transitions(lines: DataFrame, responses: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
+    """Per response, how often neighbouring lines differ in whether they hold a token of the objective; without stop words, none if nothing else is left."""
+    keys = [KEY, "objective_id"]
+    d = lines.where("ne").select(KEY, "ord", "toks").join(responses.withColumn("_obj", without(tokens(F.col("objective")), stopwords)), KEY)
+    w = Window.partitionBy(*keys).orderBy("ord")
+    d = d.withColumn("_f", F.arrays_overlap("toks", "_obj")).withColumn("_g", F.lag("_f").over(w))
+    return d.groupBy(*keys).agg(F.count_if(F.col("_f") != F.col("_g")).cast("long").alias("concept_transition_count"))
+
+
+def response_graph(lines: DataFrame, actions: DataFrame, responses: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
+    """The fourteen features of every response; zeros for a session without a line that is not empty."""
+    keys = [KEY, "objective_id"]
+    d = responses.select(*keys).join(session_graph(actions), KEY, "left").join(concept_transitions(lines, responses, stopwords), keys, "left")
+    return d.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"graph_{c}") for c in FEATURES])

@@ -83,12 +83,16 @@ def segment_features(lines: DataFrame, keys: tuple[str, ...] = ("session_id",))
     return d
 
 
-def dense_features(s: DataFrame, b: Budgets = Budgets()) -> DataFrame:
-    """All 81 features of each response."""
+def dense_features(s: DataFrame, lines: DataFrame, b: Budgets = Budgets()) -> DataFrame:
+    """All 81 features of each response: 13 of its match with the objective, 2 counts of windows, and 66 of its session, made once a session.
+
+    Windows are counted over the lines of a session too, as they don't depend on the objective.
+    """
     keys = list(RESPONSE)
     ctx = context(s, b).select(*keys, ratio(F.length("objective_context"), F.lit(b.context)).alias("selected_context_char_ratio"))
-    counts = [windows(s, b.max_gap, kind).groupBy(*keys).agg(F.count("*").cast("double").alias(name)) for kind, name in (("qa", "qa_window_count"), ("feedback", "feedback_window_count"))]
-    d = match_features(s).join(volume_features(s, RESPONSE), keys).join(segment_features(s, RESPONSE), keys)
-    for other in (ctx, *counts):
-        d = d.join(other, keys, "left")
+    own = lines.withColumn("objective_id", F.lit(0)).withColumn("ovl", F.lit(0.0))
+    session = volume_features(lines).join(segment_features(lines), "session_id")
+    for kind, name in (("qa", "qa_window_count"), ("feedback", "feedback_window_count")):
+        session = session.join(windows(own, b.max_gap, kind).groupBy("session_id").agg(F.count("*").cast("double").alias(name)), "session_id", "left")
+    d = match_features(s).join(ctx, keys).join(session, "session_id")
     return d.select(*keys, *[finite(F.col(c)).alias(c) for c in d.columns if c not in keys])

@@ -69,3 +69,52 @@ def splits(df: DataFrame, folds: DataFrame, group: str, session: str, fold: int)
     held = d.where(F.col("fold") == fold).select(session).distinct().withColumn("_held", F.lit(True))
     d = d.join(held, session, "left")
     return d.withColumn("split", F.when(F.col("fold") == fold, "validation").when(F.col("_held"), "purged").otherwise("train")).drop("_held")
+
+
+def stratified_folds(df: DataFrame, group: str, y: str, n: int, seed: int = 0) -> DataFrame:
+    """Group to fold, one at a time: the groups of the widest label counts first, each to the fold that keeps the folds' shares of each class most even.
+
+    Ties go to the smaller fold, then the lower number; a hash with the seed orders equal groups. Only counts
+    of groups meet in one task (a row a group), as each step depends on all before.
+    """
+    g = df.groupBy(group).agg(F.sum(y).cast("long").alias("pos"), F.count("*").cast("long").alias("size"))
+    g = g.withColumn("_tie", F.md5(F.concat(F.col(group).cast("string"), F.lit(str(seed))).cast("binary")))
+
+    def deal(frame):
+        import numpy as np
+
+        frame = frame.assign(_std=np.abs(frame["size"] - 2 * frame["pos"]) / 2).sort_values(["_std", "size", "_tie"], ascending=[False, False, True], kind="stable")
+        counts = np.stack([frame["size"] - frame["pos"], frame["pos"]], 1).astype(float)
+        total, folds, out = np.maximum(counts.sum(0), 1), np.zeros((n, 2)), []
+        for c in counts:
+            best = min(range(n), key=lambda k: (round(float(np.std((folds + c * (np.arange(n) == k)[:, None]) / total, axis=0).mean()), 12), folds[k].sum(), k))
+            folds[best] += c
+            out.append(best)
+        return frame.assign(fold=out)[[group, "pos", "size", "fold"]]
+
+    if g.limit(n).count() < n:
+        raise ValueError("more folds than groups")
+    return g.groupBy().applyInPandas(deal, f"{group} {dict(df.dtypes)[group]}, pos long, size long, fold int")
+
+
+def family_folds(df: DataFrame, families: DataFrame, group: str, y: str, n: int, seed: int = 0) -> DataFrame:
+    """df with family and fold, by folds of whole families; families: group, family. A group without a family fails."""
+    d = df.join(families.select(group, "family"), group, "left")
+    d = d.withColumn("family", F.when(F.col("family").isNull(), F.raise_error(F.concat(F.lit("no family for "), F.col(group).cast("string"))).cast(dict(families.dtypes)["family"])).otherwise(F.col("family")))
+    return d.join(snake_folds(d, "family", y, n, seed).select("family", "fold"), "family")
+
+
+def isolation_faults(split: DataFrame, *keys: str) -> DataFrame:
+    """key, n_shared: values that train and validation share."""
+    out = None
+    for k in keys:
+        sides = split.where("split <> 'purged'").groupBy(k).agg(F.countDistinct("split").alias("n")).where("n > 1")
+        part = sides.agg(F.count("*").cast("long").alias("n_shared")).select(F.lit(k).alias("key"), "n_shared")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def probability_faults(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Counts of rows a metric can't take: labels that are not 0 or 1, values that are no probability."""
+    v = F.col(p)
+    return df.agg(F.count_if(F.col(y).isNull() | ~F.col(y).isin(0, 1)).cast("long").alias("bad_labels"), F.count_if(v.isNull() | F.isnan(v) | (v < 0) | (v > 1)).cast("long").alias("bad_probabilities"))

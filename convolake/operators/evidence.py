@@ -91,18 +91,25 @@ def join_chunks(chunks: Column, budget: int) -> Column:
     return F.when((F.length(whole) > budget) & cut.endswith("\n"), F.substring(cut, 1, budget - 1)).otherwise(cut)
 
 
+def for_all(s: DataFrame, found: DataFrame, *names: str) -> DataFrame:
+    """A row for each response of s; names are empty texts where found has none."""
+    return s.select(*RESPONSE).distinct().join(found, list(RESPONSE), "left").select(*RESPONSE, *[F.coalesce(n, F.lit("")).alias(n) for n in names])
+
+
 def context(s: DataFrame, b: Budgets) -> DataFrame:
-    """objective_context of each response that has an anchor."""
+    """objective_context of each response; empty without an anchor."""
     e = neighbours(s, b.top_k, b.radius).join(s.select(*RESPONSE, "ord", "rendered"), [*RESPONSE, "ord"])
     items = F.array_sort(F.collect_list(F.struct("priority", "ord", F.col("rendered").alias("text"))))
-    return e.groupBy(*RESPONSE).agg(joined(greedy(items, b.context, 1)).alias("objective_context"))
+    return for_all(s, e.groupBy(*RESPONSE).agg(joined(greedy(items, b.context, 1)).alias("objective_context")), "objective_context")
 
 
 def role_texts(s: DataFrame, b: Budgets) -> DataFrame:
-    """The best lines of tutor and student within the role budget."""
-    a = anchors(s, b.top_k, by_role=True).where(F.col("role").isin("tutor", "student"))
-    items = F.array_sort(F.collect_list(F.struct("rank", "ord", F.col("rendered").alias("text"))))
-    return a.groupBy(*RESPONSE, "role").agg(joined(greedy(items, b.role, 1)).alias("role_text"))
+    """The best lines of tutor and student within the role budget: tutor_relevant and student_relevant of each response."""
+    roles = ("tutor", "student")
+    a = anchors(s, b.top_k, by_role=True).where(F.col("role").isin(*roles))
+    items = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("rank", "ord", F.col("rendered").alias("text")))))
+    found = a.groupBy(*RESPONSE).agg(*[joined(greedy(items(r), b.role, 1)).alias(f"{r}_relevant") for r in roles])
+    return for_all(s, found, *[f"{r}_relevant" for r in roles])
 
 
 def windows(s: DataFrame, gap: int, kind: str) -> DataFrame:
@@ -115,9 +122,11 @@ def windows(s: DataFrame, gap: int, kind: str) -> DataFrame:
     return d.select(*RESPONSE, F.col("ord").alias("start"), F.col("hit.ord").alias("stop"), (F.col("ovl") + F.col("hit.ovl")).alias("score"), F.concat_ws("\n", "rendered", "hit.rendered").alias("text"))
 
 
-def select_windows(w: DataFrame, budget: int) -> DataFrame:
+def select_windows(w: DataFrame, budget: int, s: DataFrame | None = None, name: str = "windows_text") -> DataFrame:
+    """The best windows within a budget, for the responses of s (or of the windows alone)."""
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("r"), F.col("start").alias("ord"), "text")))
-    return w.groupBy(*RESPONSE).agg(joined(greedy(items, budget, 2)).alias("windows_text"))
+    found = w.groupBy(*RESPONSE).agg(joined(greedy(items, budget, 2)).alias(name))
+    return found if s is None else for_all(s, found, name)
 
 
 def edges(s: DataFrame, b: Budgets) -> DataFrame:
@@ -126,3 +135,16 @@ def edges(s: DataFrame, b: Budgets) -> DataFrame:
     d = s.groupBy(*RESPONSE).agg(lines.alias("_l"))
     n = F.lit(b.edge_lines)
     return d.select(*RESPONSE, join_chunks(F.slice("_l", F.lit(1), n), b.edges).alias("opening"), join_chunks(F.slice("_l", F.greatest(F.size("_l") - n + 1, F.lit(1)), n), b.edges).alias("closing"))
+
+
+def response_texts(s: DataFrame, views: DataFrame, b: Budgets = Budgets()) -> DataFrame:
+    """The ten texts of each response: four of its session's view, and six chosen for its objective.
+
+    s: scored lines; views: session_id, full_text, tutor_text and student_text; objective comes with s.
+    """
+    keys = list(RESPONSE)
+    d = s.groupBy(*keys).agg(F.first("objective").alias("learning_objective")).join(views.select("session_id", "full_text", "tutor_text", "student_text"), "session_id")
+    parts = [context(s, b), role_texts(s, b), *[select_windows(windows(s, b.max_gap, kind), b.window, s, f"{kind}_text") for kind in ("qa", "feedback")], for_all(s, edges(s, b), "opening", "closing")]
+    for part in parts:
+        d = d.join(part, keys)
+    return d

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 def with_row_id(df: DataFrame, order: str) -> DataFrame:
     """Dense 0-based ids by a unique key: counts per range partition, then a row number inside each."""
-    d = df.withColumn("_k", F.hash(order)).drop("_k").repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    d = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
     d = d.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -43,3 +43,33 @@ def map_dimension(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFr
     """N:1 lookup; a key that the dimension lacks fails the query."""
     found = df.join(dim.select(key, value), key, "left")
     return found.withColumn(value, F.when(F.col(value).isNull(), F.raise_error(F.concat(F.lit(f"no {value} for "), F.col(key).cast("string")))).otherwise(F.col(value)))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """An inner or left join that fails if a key is repeated on either side."""
+    for side, df in (("left", left), ("right", right)):
+        twice = duplicate_keys(df, key).limit(3).collect()
+        if twice:
+            raise ValueError(f"{key} is repeated on the {side}: {[r[key] for r in twice]}")
+    return left.join(right, key, how)
+
+
+def aligned(*parts: DataFrame, key: str) -> DataFrame:
+    """Column blocks side by side by a key that all hold exactly once; fails if one lacks rows."""
+    out = parts[0]
+    for part in parts[1:]:
+        if key_difference(out, part, key).limit(1).count():
+            raise ValueError(f"blocks differ in {key}")
+        out = one_to_one(out, part, key)
+    return out
+
+
+def unsafe_names(df: DataFrame, name: str) -> DataFrame:
+    """Rows whose name would leave a folder: empty, a separator, a dot name or a null character."""
+    c = F.col(name)
+    return df.where(c.isNull() | (c == "") | c.isin(".", "..") | c.rlike(r"[/\\\\\x00]"))
+
+
+def missing_sessions(responses: DataFrame, files: DataFrame) -> DataFrame:
+    """Sessions that responses name and no file holds; files: stem."""
+    return responses.select("session_id").distinct().join(files.select(F.col("stem").alias("session_id")), "session_id", "left_anti")

@@ -41,9 +41,19 @@ def ordered_lines(t: DataFrame, lex: L.Lexicon = L.Lexicon()) -> DataFrame:
 
 
 def raw_lines(t: DataFrame) -> DataFrame:
-    """Lines of raw content in utterance order, for the views."""
-    order = Window.partitionBy("session_id").orderBy(F.col("utterance_id").try_cast("double"), "utterance_id")
-    return t.withColumn("ord", F.row_number().over(order) - 1)
+    """Lines of raw content in utterance order, for the views: by number if all ids of the session are numbers, else by text."""
+    session = Window.partitionBy("session_id")
+    number = F.col("utterance_id").try_cast("double")
+    d = t.withColumn("_number", number).withColumn("_text_ids", F.max(F.isnull("_number")).over(session))
+    order = session.orderBy(F.when(~F.col("_text_ids"), F.col("_number")), "utterance_id")
+    return d.withColumn("ord", F.row_number().over(order) - 1).drop("_number", "_text_ids")
+
+
+def seconds(timestamp: Column) -> Column:
+    """Seconds of a clock time, or of an ISO date and time; a value that is neither fails the query, null stays null."""
+    iso = F.unix_micros(F.try_to_timestamp(timestamp)) / 1_000_000
+    found = F.coalesce(X.clock_seconds(timestamp), iso)
+    return F.when(timestamp.isNotNull() & (F.trim(timestamp) != "") & found.isNull(), F.raise_error(F.concat(F.lit("no time: "), timestamp)).cast("double")).otherwise(found)
 
 
 def _in_order(value: Column, when: Column | None = None) -> Column:
@@ -56,7 +66,7 @@ def session_views(t: DataFrame) -> DataFrame:
     d = raw_lines(t)
     w = Window.partitionBy("session_id").orderBy("ord")
     text, role = F.col("content"), F.col("role")
-    d = d.withColumn("_words", X.word_count(text)).withColumn("_chars", F.length(text)).withColumn("_turned", (F.lag("role").over(w) != role).cast("int")).withColumn("_ts", X.clock_seconds(F.col("timestamp")))
+    d = d.withColumn("_words", X.word_count(text)).withColumn("_chars", F.length(text)).withColumn("_turned", (F.lag("role").over(w) != role).cast("int")).withColumn("_ts", seconds(F.col("timestamp")))
     line = F.concat(F.upper(role), F.lit(": "), text)
     student, tutor = role == "student", role == "tutor"
     n = lambda cond: F.count_if(cond).cast("long")

@@ -58,6 +58,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
+def as_strings(df: DataFrame) -> DataFrame:
+    """All columns as text, as a reader without types gives them."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+
+
+def read_strings(spark: SparkSession, path: str) -> DataFrame:
+    """A csv or parquet table as text; words like NA stay text."""
+    if path.rstrip("/").endswith(".csv"):
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return as_strings(spark.read.parquet(path))
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Nested structs as columns with dotted names."""
 

@@ -34,7 +34,7 @@ def test_every_objective_is_scored(spark, many_items, name):
 
 
 def test_dense_features_of_every_objective(spark, many_items):
-    got = catalog.queries()["dense_all"](spark, many_items).select("session_id", "objective_id").toPandas()
+    got = catalog.queries()["dense_all_x_benchmark"](spark, many_items).select("session_id", "objective_id").toPandas()
     assert len(got) == len(got.drop_duplicates()) == 20 * 200
 
 
