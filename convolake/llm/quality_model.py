@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings with softmax output, trained with numpy.
 
 A document is the average of learned vectors of its words and of the character n-grams (code points)
-inside them, all hashed to `buckets` rows; a softmax over two classes follows. The embedding and the
-output layer are trained together by stochastic gradient descent on a bounded, documented sample of
-labelled documents (`most_labels`), drawn by a hash of their ids. Because the output is linear in the
-average, scoring needs one number per hashed feature, and a batch looks each distinct word up once.
-Buckets that training never met weigh nothing.
-
-Defined results: null and text without words score the model's bias; repeated rows score alike;
+inside them, all hashed to `buckets` rows. A softmax over two classes reads the average and the logarithm
+of its squares: the average of few different features lies far from that of many, whichever they are, so texts
+that say the same again and again stand out although their words were never met. Embedding and output layer
+are trained together by stochastic gradient descent on a bounded, documented sample of labelled
+documents (`most_labels`), drawn by a hash of their ids. A batch looks each distinct word up once.
+Buckets that training never met keep their random vectors.
+
+Defined results: null and text without words score the model's bias, as their average is 0; repeated rows score alike;
 labels that are null are not learned from; an empty label table scores 0.5; only doc_id and text of
 the documents are read.
 """
@@ -29,24 +30,26 @@ from convolake.llm.kernels import Texts, bracketed, character_ngrams, texts, tri
 
 @dataclass
 class SubwordModel:
-    """weight[f]: how much feature f moves the log odds of class 1, per share of the document's features."""
+    """vectors: buckets x dim; spread: what the average's coordinates are measured by; out: weights of the coordinates and of the logarithms of their squares."""
 
-    weight: np.ndarray
+    vectors: np.ndarray
+    spread: np.ndarray
+    out: np.ndarray
     bias: float
     lo: int
     hi: int
 
-    def features(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words' features (bucket, word), each word occurrence's distinct word and its text."""
-        return word_features(t, len(self.weight), self.lo, self.hi)
-
     def score(self, t: Texts) -> np.ndarray:
-        bucket, word, which, where, n = self.features(t)
-        total = np.bincount(word, self.weight[bucket], n)
+        bucket, word, which, where, n = word_features(t, len(self.vectors), self.lo, self.hi)
         many = np.bincount(word, minlength=n).astype(float)
-        top = np.bincount(where, total[which], len(t))
-        size = np.bincount(where, many[which], len(t))
-        return 1 / (1 + np.exp(-(self.bias + top / np.maximum(size, 1))))
+        size = np.maximum(np.bincount(where, many[which], len(t)), 1)
+        logit = np.full(len(t), self.bias)
+        dim = self.vectors.shape[1]
+        for d in range(dim):
+            total = np.bincount(word, self.vectors[bucket, d], n)
+            x = np.bincount(where, total[which], len(t)) / size / self.spread[d]
+            logit += self.out[d] * x + self.out[dim + d] * np.log1p(x * x)
+        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
 def word_features(t: Texts, buckets: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -63,10 +66,10 @@ def word_features(t: Texts, buckets: int, lo: int, hi: int) -> tuple[np.ndarray,
     return bucket, np.concatenate([word, np.arange(n)]), which, where, n
 
 
-def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8, lo: int = 3, hi: int = 5, epochs: int = 10, batch: int = 32, rate: float = 60.0, l2: float = 1e-6, seed: int = 5) -> SubwordModel:
+def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8, lo: int = 3, hi: int = 5, epochs: int = 12, least_steps: int = 600, batch: int = 32, rate: float = 1.0, l2: float = 1e-5, seed: int = 5) -> SubwordModel:
     """Trains on (text, label) pairs; labels 0 and 1."""
     if not sample:
-        return SubwordModel(np.zeros(buckets), 0.0, lo, hi)
+        return SubwordModel(np.zeros((buckets, dim), np.float32), np.ones(dim), np.zeros(2 * dim), 0.0, lo, hi)
     rng = np.random.default_rng(seed)
     y = np.array([label for _, label in sample], np.int64)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
@@ -85,31 +88,33 @@ def fit(sample: list[tuple[str, int]], *, buckets: int = 1 << 17, dim: int = 8,
             rows.append((own.astype(np.int32), (weight / max(1, weight.sum())).astype(np.float32)))
     met = np.unique(np.concatenate([r[0] for r in rows]))
     rows = [(np.searchsorted(met, f), share) for f, share in rows]
-    vectors = rng.uniform(-1 / dim, 1 / dim, (len(met), dim)).astype(np.float32)
-    out = np.zeros((dim, 2), np.float32)
-    prior = np.clip(np.array([(y == 0).mean(), (y == 1).mean()]), 1e-3, 1)
-    bias = np.log(prior).astype(np.float32)
+    whole = rng.normal(0, 1, (buckets, dim)).astype(np.float32)
+    vectors = whole[met]
+    average = lambda f, share, who, n: np.stack([np.bincount(who, vectors[f, d] * share, n) for d in range(dim)], 1)
+    first = np.concatenate([average(f, share, np.zeros(len(f), np.int64), 1) for f, share in rows if len(f)] or [np.ones((1, dim))])
+    spread = np.sqrt(np.median(first * first, axis=0) + 1e-12)
+    out = np.zeros(2 * dim)
+    good = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    bias = float(np.log(good / (1 - good)))
+    epochs = max(epochs, -(-least_steps * batch // len(rows)))  # few rows are seen more often
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        step = rate * (1 - epoch / epochs) / batch
+        step = rate * (1 - epoch / epochs)
         for lo_row in range(0, len(order), batch):
             own = order[lo_row : lo_row + batch]
             f = np.concatenate([rows[i][0] for i in own])
             share = np.concatenate([rows[i][1] for i in own])
             who = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
-            mean = np.stack([np.bincount(who, vectors[f, d] * share, len(own)) for d in range(dim)], 1)
-            logit = mean @ out + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), y[own]] -= 1
-            hidden = (p @ out.T).astype(np.float32)
-            out -= (step * mean.T @ p * 0.1 + l2 * out).astype(np.float32)
-            bias -= (step * p.sum(0) * 0.005).astype(np.float32)
+            x = average(f, share, who, len(own)) / spread
+            seen = np.concatenate([x, np.log1p(x * x)], 1)
+            error = (1 / (1 + np.exp(-np.clip(seen @ out + bias, -30, 30))) - y[own]) / len(own)
+            pull = np.clip(error[:, None] * (out[:dim] + out[dim:] * 2 * x / (1 + x * x)) / spread, -1, 1)  # a step stays bounded
+            out -= step * (seen.T @ error + l2 * out)
+            bias -= step * float(error.sum())
             for d in range(dim):
-                vectors[:, d] -= (step * np.bincount(f, hidden[who, d] * share, len(met))).astype(np.float32)
-    weight = np.zeros(buckets)
-    weight[met] = vectors @ (out[:, 1] - out[:, 0])
-    return SubwordModel(weight, float(bias[1] - bias[0]), lo, hi)
+                vectors[:, d] -= (step * np.bincount(f, pull[who, d] * share, len(met))).astype(np.float32)
+    whole[met] = vectors
+    return SubwordModel(whole, spread, out, bias, lo, hi)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most_labels: int) -> list[tuple[str, int]]:
@@ -124,7 +129,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_labels: int) -> lis
 def score_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """doc_id and score (the probability of label 1) of every whole text; nothing is shuffled."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x dim x 4 bytes
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

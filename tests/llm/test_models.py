@@ -17,7 +17,9 @@ def labelled(spark):
     rows, labels = [], []
     for i in range(400):
         good = i % 3 > 0
-        rows.append((i, prose("abcdefgh" if good else "#*$&xyz", 50), "clash", 1.0))
+        word = prose("qrs", 1)
+        bad = RNG.choice([prose("#*$&xyz", 50), " ".join([word] * 50)])
+        rows.append((i, prose("abcdefgh", 50) if good else bad, "clash", 1.0))
         if i < 300:
             labels.append((i, int(good) if i != 7 else None, 0))
     rows += [(900, None, None, None), (901, "", None, None), (None, prose("abcdefgh", 30), None, None), (5, rows[5][1], None, None)]
@@ -67,11 +69,13 @@ def test_quality_scores_against_brute_force(labelled):
     got = quality_model.score_quality(docs.where("doc_id < 60 or doc_id >= 900").union(docs.sparkSession.createDataFrame(extra, docs.schema)), model).collect()
     want = []
     for doc, text in rows:
-        weights = []
+        found = []
         for w in re.findall("[^\x20\x09-\x0d]+", text or ""):
             own = f"<{w}>"
-            weights += [model.weight[bucket(w)], *(model.weight[bucket(own[i : i + n])] for n in range(model.lo, model.hi + 1) for i in range(len(own) - n + 1))]
-        want.append((doc, 1 / (1 + math.exp(-(model.bias + sum(weights) / max(1, len(weights)))))))
+            found += [bucket(w), *(bucket(own[i : i + n]) for n in range(model.lo, model.hi + 1) for i in range(len(own) - n + 1))]
+        x = [sum(float(model.vectors[f, d]) for f in found) / max(1, len(found)) / model.spread[d] for d in range(8)]
+        logit = model.bias + sum(model.out[d] * v + model.out[8 + d] * math.log1p(v * v) for d, v in enumerate(x))
+        want.append((doc, 1 / (1 + math.exp(-logit))))
     key = lambda r: (r[0], round(r[1], 6))
     assert [r[0] for r in sorted(got, key=key)] == [r[0] for r in sorted(want, key=key)]
     assert [r[1] for r in sorted(got, key=key)] == pytest.approx([r[1] for r in sorted(want, key=key)], abs=1e-9)
