@@ -144,7 +144,7 @@ def tokenize_counts(t):
 
 @query(S.STOPWORDS_SQL)
 def stopword_filter(t):
-    return t("benchmark").select("item_id", F.array_join(V.objective_tokens(F.col("text")), " ").alias("kept"), F.size(X.without(X.tokens(F.col("text")), STOPWORDS)).cast("long").alias("n_kept"))
+    return t("documents").select("doc_id", F.array_join(V.objective_tokens(F.col("text")), " ").alias("kept"), F.size(X.without(X.tokens(F.col("text")), STOPWORDS)).cast("long").alias("n_kept"))
 
 
 @query(S.CLOCK)
@@ -515,7 +515,7 @@ def ablation_delta(t):
 
 @query(S.HASHED)
 def hashed_ngrams_l2(t):
-    return N.hashed_ngrams(t("benchmark"), "item_id", X.tokens(F.col("text")), 1024)
+    return N.hashed_ngrams(t("documents"), "doc_id", X.tokens(F.col("text")), 1024)
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity - m1) / s1 / sqrt(2), 6) AS l_quantity, round((l_discount - m2) / s2 / sqrt(2), 6) AS l_discount FROM lineitem, (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2, stddev_pop(l_discount) AS s2 FROM lineitem)")

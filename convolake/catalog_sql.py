@@ -64,7 +64,7 @@ SELECT session_id, count(*)::BIGINT AS utterance_count, (max(s) - min(s))::DOUBL
 NORMALIZE = f"SELECT doc_id, {normal('text')} AS normal FROM documents"
 TOKENS = rf"""SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_unique, array_to_string(t[1:20], ' ') AS head, n_words FROM (SELECT doc_id, {tokens('text')} AS t, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))::BIGINT AS n_words FROM documents)"""
 OBJECTIVES = f"""o0 AS (SELECT item_id, {tokens('text')} AS t FROM benchmark), o1 AS (SELECT item_id, t, list_filter(t, lambda x: NOT list_contains({listed(STOPWORDS)}, x)) AS k FROM o0), objectives AS (SELECT item_id AS objective_id, CASE WHEN len(k) > 0 THEN k ELSE t END AS obj, len(k)::BIGINT AS n_kept FROM o1)"""
-STOPWORDS_SQL = f"WITH {OBJECTIVES} SELECT objective_id AS item_id, array_to_string(obj, ' ') AS kept, n_kept FROM objectives"
+STOPWORDS_SQL = f"SELECT doc_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE t END, ' ') AS kept, len(k)::BIGINT AS n_kept FROM (SELECT doc_id, t, list_filter(t, lambda x: NOT list_contains({listed(STOPWORDS)}, x)) AS k FROM (SELECT doc_id, {tokens('text')} AS t FROM documents))"
 CLOCK = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + floor(date_part('microsecond', ts) / 1000) / 1000, 6) END AS seconds FROM events"
 
 
@@ -311,8 +311,8 @@ _LOSSES = ", ".join(f"{log_loss(x)} AS {n}" for n, x in (("l0", "0.33::DOUBLE"),
 GATE = FOLDS + f", f AS (SELECT fold, {_LOSSES} FROM p JOIN folds USING (grp) GROUP BY fold) SELECT bool_and(le < least(l0, l1, l2, l3)) AS passed, arg_max(fold, le) AS worst_fold, round(max(le), 6) AS worst FROM f"
 ABLATION = PROBS + f" SELECT grp, round(le - l3, 6) AS delta FROM (SELECT grp, {_LOSSES} FROM p GROUP BY grp)"
 
-HASHED = f"""WITH t AS (SELECT item_id, {tokens('text')} AS t FROM benchmark), g AS (SELECT item_id, unnest(t) AS g FROM t UNION ALL SELECT item_id, unnest(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || ' ' || p[2])) FROM t WHERE len(t) > 1),
-c AS (SELECT item_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 1024 AS bucket, count(*)::DOUBLE AS c FROM g GROUP BY ALL) SELECT item_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY item_id)), 6) AS value FROM c"""
+HASHED = f"""WITH t AS (SELECT doc_id, {tokens('text')} AS t FROM documents), g AS (SELECT doc_id, unnest(t) AS g FROM t UNION ALL SELECT doc_id, unnest(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || ' ' || p[2])) FROM t WHERE len(t) > 1),
+c AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 1024 AS bucket, count(*)::DOUBLE AS c FROM g GROUP BY ALL) SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM c"""
 _UNIT = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({0}, lambda y: y::DOUBLE * y::DOUBLE))))"
 GATHERED = f"WITH ob AS (SELECT label, arg_min(embedding, vec_id) AS objective FROM embeddings GROUP BY label), g AS (SELECT vec_id, label, {_UNIT.format('embedding')} AS c, {_UNIT.format('objective')} AS o FROM embeddings JOIN ob USING (label))"
 LLOYD = """WITH c AS (SELECT vec_id::INTEGER AS cluster, embedding AS centre FROM embeddings WHERE vec_id < 5),

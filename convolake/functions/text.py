@@ -21,10 +21,19 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
 
 
+def _folded() -> dict[str, str]:
+    """Characters whose case folding is more than their lower case, and holds a letter that tokens keep."""
+    every = {chr(c): chr(c).casefold() for c in range(0x80, 0x10000)}
+    return {a: b for a, b in every.items() if b != a.lower() and any("a" <= x <= "z" for x in b)}
+
+
 def fold(text: Column) -> Column:
-    """Case folding: lower case, sharp and long s resolved, the curly apostrophe made plain."""
-    for a, b in (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s")):
-        text = F.replace(text, F.lit(a), F.lit(b))
+    """Case folding: lower case, sharp and long s and ligatures resolved, the curly apostrophe made plain."""
+    table = _folded()
+    whole = text
+    for a, b in table.items():
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    text = F.when(text.rlike(f"[{''.join(table)}]"), whole).otherwise(text)
     return F.replace(F.lower(text), F.lit("’"), F.lit("'"))
 
 

@@ -65,7 +65,7 @@ def snake_folds(df: DataFrame, group: str, y: str, n: int, seed: int = 0) -> Dat
 
 def splits(df: DataFrame, folds: DataFrame, group: str, session: str, fold: int) -> DataFrame:
     """df with split: validation, purged (its session is in validation) or train."""
-    d = df.join(F.broadcast(folds.select(group, "fold")), group)
+    d = df.join(folds.select(group, "fold"), group)
     held = d.where(F.col("fold") == fold).select(session).distinct().withColumn("_held", F.lit(True))
     d = d.join(held, session, "left")
     return d.withColumn("split", F.when(F.col("fold") == fold, "validation").when(F.col("_held"), "purged").otherwise("train")).drop("_held")

@@ -164,3 +164,13 @@ def test_heads_predict_row_by_row(spark):
     assert M.contract_faults(p, d.select("response_id")).first().asDict() == {"bad_values": 0, "repeated": 0, "missing": 0, "unknown": 0}
     a, b = M.fit_platt(d.withColumn("p", F.when(F.col("y") == 1, 0.7).otherwise(0.4)).union(d.withColumn("p", F.lit(0.5))), "p", "y")
     assert a > 0 and math.isfinite(b)
+
+
+def test_ligatures_and_sharp_s_fold(spark):
+    from pyspark.sql import functions as F
+
+    from convolake.functions import text as X
+
+    words = "ﬁrst oﬀer Straße STRAẞE ſo ﬃ K ŉ it’s"
+    df = spark.createDataFrame([(words,)], "t string")
+    assert df.select(X.tokens(F.col("t"))).first()[0] == ["first", "offer", "strasse", "strasse", "so", "ffi", "k", "n", "it's"]
