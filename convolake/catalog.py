@@ -449,7 +449,7 @@ def stratified_folds(t):
 
 @query()
 def nested_platt(t):
-    d = labelled_vectors(t).select("vec_id", "grp", "session", "y", (0.1 + 0.8 / (1 + F.exp(-F.get("embedding", F.lit(1)).cast("double") * 4))).alias("p"))
+    d = labelled_vectors(t).select("vec_id", "grp", "session", "y", (0.1 + 0.8 / (1 + F.exp(-(F.get("embedding", F.lit(0)) + F.get("embedding", F.lit(1))).cast("double") * 4))).alias("p"))
     return M.nested_platt(d, E.snake_folds(d, "grp", "y", 3), "grp", "session", "p", "y", 3).select("vec_id", "fold", "calibrated")
 
 

@@ -72,7 +72,7 @@ def splits(df: DataFrame, folds: DataFrame, group: str, session: str, fold: int)
 
 
 def stratified_folds(df: DataFrame, group: str, y: str, n: int, seed: int = 0) -> DataFrame:
-    """Group to fold, one at a time: the groups of the widest label counts first, each to the fold that keeps the folds' shares of each class most even.
+    """Group to fold, one at a time: the largest groups first, then those of the widest label counts, each to the fold that keeps the folds' shares of each class most even.
 
     Ties go to the smaller fold, then the lower number; a hash with the seed orders equal groups. Only counts
     of groups meet in one task (a row a group), as each step depends on all before.
@@ -83,7 +83,7 @@ def stratified_folds(df: DataFrame, group: str, y: str, n: int, seed: int = 0) -
     def deal(frame):
         import numpy as np
 
-        frame = frame.assign(_std=np.abs(frame["size"] - 2 * frame["pos"]) / 2).sort_values(["_std", "size", "_tie"], ascending=[False, False, True], kind="stable")
+        frame = frame.assign(_std=np.abs(frame["size"] - 2 * frame["pos"]) / 2).sort_values(["size", "_std", "_tie"], ascending=[False, False, True], kind="stable")
         counts = np.stack([frame["size"] - frame["pos"], frame["pos"]], 1).astype(float)
         total, folds, out = np.maximum(counts.sum(0), 1), np.zeros((n, 2)), []
         for c in counts:
