@@ -46,6 +46,14 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most so many rows, so that buffers on both sides stay a few megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """Binds value to a name, so that body evaluates it once however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)

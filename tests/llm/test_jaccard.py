@@ -114,3 +114,36 @@ def test_scan_of_keys_gives_each_group_once():
             got.setdefault(r["key"], []).append(r)
         assert {k: {r["id"] for r in v} for k, v in got.items()} == {k: v for k, v in want.items() if len(v) > 1 or has[list(v)].any()}
         assert all(len(v) == len(want[k]) and {r["lo"] for r in v} == {min(want[k])} for k, v in got.items())
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_large_groups_of_near_copies(spark, words, percent):
+    """Near copies of one text, some too far apart to link, over many runs of documents; extra columns clash."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(400):
+        own = list(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+            own[rng.randrange(80)] = f"n{rng.randrange(30)}"
+        rows.append((k * 3 % 401, " ".join(own), 1, "k"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep int, key string").repartition(37)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, words=words, percent=percent).collect()}
+    assert got == brute([r[:2] for r in rows], words, percent)
+    kept = jaccard.keep_one(docs, words=words, percent=percent)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
+
+
+def test_a_cluster_without_a_shared_folder_fails():
+    from unittest.mock import MagicMock
+
+    from convolake.llm import common
+
+    spark = MagicMock()
+    spark.conf.get.return_value = None
+    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    spark.sparkContext.master = "yarn"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(spark)

@@ -275,3 +275,33 @@ def test_predictions_against_a_plain_version(spoken):
     for text, got, excess in zip(rows, pi, above, strict=True):
         want, chance = plain_proportions(model, text)
         assert got == pytest.approx(want, abs=1e-9) and excess == pytest.approx(chance, abs=1e-6)
+
+
+def test_very_long_texts_are_judged_whole(spoken, labelled):
+    """A text said two thousand times scores as once, and a language in its last part is found."""
+    import pyarrow as pa
+
+    from convolake.llm.kernels import texts
+
+    docs, labels = labelled
+    model = quality_model.fit(quality_model.training_sample(docs, labels, 300))
+    base = prose("abcdefgh", 100) + " "
+    scores = [float(model.score(t)[0]) for x in (base, base * 2000) for _, _, t in texts(pa.array([x]))]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+    lang = langid.fit(langid.training_sample(spoken, 100))
+    long = prose("abcde", 3000) + (" " + prose("abcde", 500)) * 200 + (" " + prose("éèfgh", 500)) * 100
+    ((_, _, t),) = texts(pa.array([long]))
+    pi = dict(zip(lang.languages, lang.proportions(t)[0], strict=True))
+    assert 0.6 < pi["aa"] < 0.75 and 0.25 < pi["çc"] < 0.4
+
+
+def test_near_dedup_with_clashing_columns_and_one_id_for_two_vectors(spark, vector_rows):
+    plain = spark.createDataFrame(vector_rows, "vec_id long, embedding array<float>, label int")
+    clash = spark.createDataFrame([(*r, 1, 2, 3, 4.0) for r in vector_rows], "vec_id long, embedding array<float>, label int, rep int, code int, n int, unit double")
+    own = lambda df: sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect())
+    assert own(plain) == own(clash)
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [-1.0, 0.0], 0), (None, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
+    got = embed_dedup.near_duplicates(twice, exact=True).collect()
+    assert len(got) == 5
+    by = {r.vec_id: (r.n_links, r.component_id) for r in got}
+    assert by[1] == (1, 1) and by[2][1] == 1 and by[3] == (0, 3) and by[None][1] is None
