@@ -88,8 +88,8 @@ def test_windows_and_context(spark, talk):
     fb = V.windows(s, 4, "feedback").where("objective_id = 1").collect()
     assert [(r.start, r.stop) for r in fb] == [(2, 3)]
     ctx = {r.objective_id: r.objective_context for r in V.context(s, Budgets()).collect()}
-    assert ctx == {1: "tutor: What is 2 + 2?\nstudent: maybe four because two and two\ntutor: Exactly, well done."}
-    d = {r.objective_id: r for r in D.dense_features(s).collect()}
+    assert ctx == {1: "tutor: What is 2 + 2?\nstudent: maybe four because two and two\ntutor: Exactly, well done.", 2: ""}
+    d = {r.objective_id: r for r in D.dense_features(s, C.ordered_lines(talk)).collect()}
     assert len(d[1].asDict()) == 81 + 2
     assert d[1].objective_token_count == 2 and d[1].objective_coverage == 1.0 and d[2].relevant_line_count == 0
     assert d[1].qa_window_count == 1 and d[1].duration_seconds == 9.0 and d[1].unclear_line_count == 1
