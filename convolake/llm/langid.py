@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
         for batch in trimming(batches):
-            for lo, hi, t in texts(batch.column(1), 1 << 20):
+            for lo, hi, t in texts(batch.column(1)):
                 pi = own.proportions(t)
                 some = pi.sum(1) > 0 if pi.shape[1] else np.zeros(len(pi), bool)
                 pick = np.where(some, pi.argmax(1) if pi.shape[1] else 0, len(own.languages))
@@ -183,7 +183,7 @@ def keep_identified(docs: DataFrame, *, least_share: float = LEAST_SHARE, most_p
         languages = np.array([*own.languages, UNKNOWN], object)
         for batch in trimming(batches):
             letters = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            for lo, hi, t in texts(batch.column(place), 1 << 20):
+            for lo, hi, t in texts(batch.column(place)):
                 pi, above = own.judge(t)
                 keep = (pi.max(1, initial=0.0) >= least_share) & (above >= 0) & letters[lo:hi]
                 columns = [c.slice(lo, hi - lo) for c in batch.columns[: len(names)]]

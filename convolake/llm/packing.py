@@ -32,7 +32,7 @@ from convolake.llm.common import materialize
 from convolake.llm.kernels import LOWER, SPACE, Texts, texts, trimming
 
 #: Chunks of text of which a worker remembers the ids.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 150_000
 
 
 #: Symbols that the tokenizer splits from a word before them.
@@ -142,7 +142,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_for(tokenizer)
         for batch in trimming(batches):
-            for lo, hi, t in texts(batch.column(1)):
+            for lo, hi, t in texts(batch.column(1), 1 << 20):
                 ids, offsets = encoder.encode(t)
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 offsets = offsets + np.arange(hi - lo + 1)
