@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def with_row_id(df: DataFrame, order: str) -> DataFrame:
-    """Dense 0-based ids by a unique key: counts per range partition, then a row number inside each."""
-    d = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
-    d = d.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
+def _place(key: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted bounds lie below key, by halving; all of them for a null key."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(key <= F.lit(bounds[mid]), _place(key, bounds[:mid], first)).otherwise(_place(key, bounds[mid + 1 :], first + mid + 1))
+
+
+def with_row_id(df: DataFrame, order: str, parts: int = 64, sample_rows: int = 6400) -> DataFrame:
+    """Dense 0-based ids by a unique key, a null one last: counts per key range, then a row number inside each.
+
+    A row's range depends on its key alone, so every pass over df agrees on it, however partitions are cut or merged.
+    The bounds are quantiles of a bounded sample; they only balance the ranges.
+    """
+    sample = df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(sample_rows).collect()
+    keys = sorted(r[0] for r in sample)
+    bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    d = df.withColumn("_p", _place(F.col(order), bounds))
+    sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a range
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.join(sizes.select("_p", "_before"), "_p").withColumn("row_id", F.col("_before") + F.col("_i")).drop("_m", "_p", "_i", "_before")
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(F.col(order).asc_nulls_last())) - 1)
+    return d.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn("row_id", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -153,6 +153,16 @@ def test_keys(spark):
     assert all(r.row_id == r.k for r in ids) and len(ids) == 1000
 
 
+def test_row_ids_of_more_rows_than_a_sample(spark):
+    n = 300_007
+    d = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), 20).alias("v"))
+    ids = R.with_row_id(d, "k")
+    assert ids.agg(F.count("*"), F.count_if(F.col("row_id") == F.col("k"))).first() == (n, n)
+    few = spark.createDataFrame([(5,), (None,), (-3,)], "k int")
+    assert sorted((r.row_id, r.k) for r in R.with_row_id(few, "k").collect()) == [(0, -3), (1, 5), (2, None)]
+    assert R.with_row_id(few.limit(0), "k").count() == 0
+
+
 def test_heads_predict_row_by_row(spark):
     rows = [(str(i), [i / 50 - 1, (i * 7 % 50) / 25 - 1], int(i > 50), f"g{i % 5}", f"s{i % 9}") for i in range(100)]
     d = spark.createDataFrame(rows, "response_id string, x array<double>, y int, grp string, session string")
