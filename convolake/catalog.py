@@ -15,6 +15,7 @@ from convolake.operators import action_graph as G
 from convolake.operators import dense as D
 from convolake.operators import evaluation as E
 from convolake.operators import evidence as V
+from convolake.operators import products as P
 from convolake.operators import relational as R
 from convolake.operators import sessions as C
 from convolake.operators import vectors as N
@@ -27,13 +28,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name; doubles are rounded to 6 digits where SQL checks them."""
+def query(sql: str | None = None, rounds: tuple[str, ...] | None = None):
+    """Registers a query under its function's name; doubles (or rounds, if others are whole or rounded already) are rounded to 6 digits where SQL checks them."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-            return df.select(*[F.round(F.col(c), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+            return df.select(*[F.round(F.col(c), 6).alias(c) if t in ("double", "float") and (rounds is None or c in rounds) else F.col(c) for c, t in df.dtypes])
 
         run.__name__ = f.__name__
         FOUND[f.__name__] = (run, sql)
@@ -73,9 +74,13 @@ def scored(t) -> DataFrame:
     return V.scored(lines(t), responses(t))
 
 
+def items(t) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective"))
+
+
 def scored_all(t) -> DataFrame:
     """Every conversation with every item of benchmark."""
-    return V.scored_all(lines(t), t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective")))
+    return V.scored_all(lines(t), items(t))
 
 
 def probabilities(t) -> DataFrame:
@@ -173,17 +178,22 @@ def ordered_lines(t):
 KEYS = list(V.RESPONSE)
 
 
-def evidence(rest: str, recursive: bool = False):
-    """Registers a query over scored lines: over two objectives a conversation, and as NAME_x_benchmark over all."""
+def evidence(rest: str, recursive: bool = False, product: Callable[[DataFrame, DataFrame], DataFrame] | None = None, rounds: tuple[str, ...] | None = None):
+    """Registers a query over scored lines: over two objectives a conversation, and as NAME_x_benchmark over all.
+
+    product: the same of lines and objectives, without a row for each pair of them on the way.
+    """
 
     def add(f):
-        for suffix, own, sql in (("", scored, S.scored), ("_x_benchmark", scored_all, S.scored_all)):
+        def paired(t):
+            return f(scored(t))
 
-            def over(t, own=own):
-                return f(own(t))
+        def every(t):
+            return product(lines(t), items(t)) if product else f(scored_all(t))
 
-            over.__name__ = f.__name__ + suffix
-            query(sql(rest, recursive))(over)
+        paired.__name__, every.__name__ = f.__name__, f"{f.__name__}_x_benchmark"
+        query(S.scored(rest, recursive))(paired)
+        query(S.scored_all(rest, recursive), rounds)(every)
         return f
 
     return add
@@ -194,7 +204,7 @@ def line_overlap_scores(s):
     return s.select(*KEYS, F.col("ord").cast("long").alias("ord"), "ovl")
 
 
-@evidence("SELECT session_id, objective_id, ord, rank FROM anchors")
+@evidence("SELECT session_id, objective_id, ord, rank FROM anchors", product=lambda l, o: P.anchors(l, o, S.K))
 def anchor_topk(s):
     return V.anchors(s, S.K).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("rank").cast("long").alias("rank"))
 
@@ -224,14 +234,18 @@ def budget_join_chunks(s):
     return V.edges(s, S.BUDGETS)
 
 
+def _long_ends(w):
+    return w.select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+
+
 @evidence(S.windows("qa") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win")
 def qa_windows(s):
-    return V.windows(s, S.BUDGETS.max_gap, "qa").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+    return _long_ends(V.windows(s, S.BUDGETS.max_gap, "qa"))
 
 
 @evidence(S.windows("feedback") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win")
 def feedback_windows(s):
-    return V.windows(s, S.BUDGETS.max_gap, "feedback").select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
+    return _long_ends(V.windows(s, S.BUDGETS.max_gap, "feedback"))
 
 
 @evidence(S.windows("feedback") + S.greedy(S.WINDOW_ITEMS, S.BUDGETS.window, 2, "windows_text"), recursive=True)
@@ -569,18 +583,14 @@ def semantic_interactions_dense(t):
     return m.select("vec_id", F.size("m").cast("long").alias("width"), F.get("m", F.lit(256)).alias("cosine"), F.get("m", F.lit(257)).alias("first_dense"), F.get("m", F.lit(258)).alias("last_dense"))
 
 
-def _objectives(t) -> DataFrame:
-    return t("benchmark").select(F.col("item_id").alias("objective_id"), F.col("text").alias("objective"))
-
-
 @query(S.response_hashes({"full_text": 1 << 19}, 1 << 16))
 def full_text_hash(t):
-    return N.response_hashes(responses(t), views(t), _objectives(t), {"full_text": 1 << 19}, 1 << 16)
+    return N.response_hashes(responses(t), views(t), items(t), {"full_text": 1 << 19}, 1 << 16)
 
 
 @query(S.response_hashes({"tutor_text": 1 << 18, "student_text": 1 << 18}, 1 << 16))
 def role_text_hash(t):
-    return N.response_hashes(responses(t), views(t), _objectives(t), {"tutor_text": 1 << 18, "student_text": 1 << 18}, 1 << 16)
+    return N.response_hashes(responses(t), views(t), items(t), {"tutor_text": 1 << 18, "student_text": 1 << 18}, 1 << 16)
 
 
 @query("SELECT o_orderkey AS k, bucket, value FROM (SELECT o_orderkey, o_custkey % 8 AS bucket, 1::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, 8, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 6) FROM orders)")
@@ -590,8 +600,8 @@ def append_scaled_dense(t):
 
 
 @query()
-def encode_objectives(t):
-    e = N.encode_once(_objectives(t), "objective_id", "objective", N.hashing_encoder(16), 16)
+def encodeitems(t):
+    e = N.encode_once(items(t), "objective_id", "objective", N.hashing_encoder(16), 16)
     return e.select("objective_id", N.dot(F.col("vector"), F.col("vector")).alias("norm"), F.get("vector", F.lit(0)).cast("double").alias("first"))
 
 

@@ -83,6 +83,15 @@ def segment_features(lines: DataFrame, keys: tuple[str, ...] = ("session_id",))
     return d
 
 
+def session_features(lines: DataFrame, b: Budgets = Budgets()) -> DataFrame:
+    """The features that don't depend on the objective, windows counted too; a row for each session."""
+    own = lines.withColumn("objective_id", F.lit(0)).withColumn("ovl", F.lit(0.0))
+    session = volume_features(lines).join(segment_features(lines), "session_id")
+    for kind, name in (("qa", "qa_window_count"), ("feedback", "feedback_window_count")):
+        session = session.join(windows(own, b.max_gap, kind).groupBy("session_id").agg(F.count("*").cast("double").alias(name)), "session_id", "left")
+    return session
+
+
 def dense_features(s: DataFrame, lines: DataFrame, b: Budgets = Budgets()) -> DataFrame:
     """All 81 features of each response: 13 of its match with the objective, 2 counts of windows, and 66 of its session, made once a session.
 
@@ -90,9 +99,5 @@ def dense_features(s: DataFrame, lines: DataFrame, b: Budgets = Budgets()) -> Da
     """
     keys = list(RESPONSE)
     ctx = context(s, b).select(*keys, ratio(F.length("objective_context"), F.lit(b.context)).alias("selected_context_char_ratio"))
-    own = lines.withColumn("objective_id", F.lit(0)).withColumn("ovl", F.lit(0.0))
-    session = volume_features(lines).join(segment_features(lines), "session_id")
-    for kind, name in (("qa", "qa_window_count"), ("feedback", "feedback_window_count")):
-        session = session.join(windows(own, b.max_gap, kind).groupBy("session_id").agg(F.count("*").cast("double").alias(name)), "session_id", "left")
-    d = match_features(s).join(ctx, keys).join(session, "session_id")
+    d = match_features(s).join(ctx, keys).join(session_features(lines, b), "session_id")
     return d.select(*keys, *[finite(F.col(c)).alias(c) for c in d.columns if c not in keys])

@@ -112,14 +112,23 @@ def role_texts(s: DataFrame, b: Budgets) -> DataFrame:
     return for_all(s, found, *[f"{r}_relevant" for r in roles])
 
 
-def windows(s: DataFrame, gap: int, kind: str) -> DataFrame:
-    """Question and answer (`qa`) or answer and feedback (`feedback`): the first fitting line of the next gap lines."""
-    w = Window.partitionBy(*RESPONSE).orderBy("ord").rowsBetween(1, gap)
+def window_ends(s: DataFrame, gap: int, kind: str, keys: tuple[str, ...] = RESPONSE) -> DataFrame:
+    """Lines with starts (whether a window may start here) and hit, the first fitting line of the next gap lines."""
+    w = Window.partitionBy(*keys).orderBy("ord").rowsBetween(1, gap)
     hit = (F.col("role") == "student") & F.col("ne") if kind == "qa" else (F.col("role") == "tutor") & F.col("ne") & (F.col("fb") | F.col("co"))
     start = (F.col("role") == "tutor") & F.col("q") if kind == "qa" else (F.col("role") == "student") & F.col("ne")
-    d = s.withColumn("hit", F.first(F.when(hit, F.struct("ord", "rendered", "ovl")), ignorenulls=True).over(w))
-    d = d.where(start & F.col("hit").isNotNull())
-    return d.select(*RESPONSE, F.col("ord").alias("start"), F.col("hit.ord").alias("stop"), (F.col("ovl") + F.col("hit.ovl")).alias("score"), F.concat_ws("\n", "rendered", "hit.rendered").alias("text"))
+    kept = [c for c in ("ord", "rendered", "ovl") if c in s.columns]
+    return s.withColumn("hit", F.first(F.when(hit, F.struct(*kept)), ignorenulls=True).over(w)).withColumn("starts", start)
+
+
+def window_text() -> Column:
+    return F.concat_ws("\n", "rendered", "hit.rendered")
+
+
+def windows(s: DataFrame, gap: int, kind: str) -> DataFrame:
+    """Question and answer (`qa`) or answer and feedback (`feedback`): the first fitting line of the next gap lines."""
+    d = window_ends(s, gap, kind).where(F.col("starts") & F.col("hit").isNotNull())
+    return d.select(*RESPONSE, F.col("ord").alias("start"), F.col("hit.ord").alias("stop"), (F.col("ovl") + F.col("hit.ovl")).alias("score"), window_text().alias("text"))
 
 
 def select_windows(w: DataFrame, budget: int, s: DataFrame | None = None, name: str = "windows_text") -> DataFrame:
