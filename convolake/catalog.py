@@ -219,7 +219,7 @@ def neighbor_expansion(s):
     return V.neighbours(s, S.K, S.BUDGETS.radius).select(*KEYS, F.col("ord").cast("long").alias("ord"), F.col("priority").cast("long").alias("priority"))
 
 
-@evidence(S.greedy(S.CONTEXT_ITEMS, S.BUDGETS.context, 1, "objective_context"), recursive=True)
+@evidence(S.greedy(S.CONTEXT_ITEMS, S.BUDGETS.context, 1, "objective_context"), recursive=True, product=lambda l, o: P.context(l, o, S.BUDGETS))
 def budget_select_context(s):
     return V.context(s, S.BUDGETS)
 
