@@ -248,7 +248,7 @@ def feedback_windows(s):
     return _long_ends(V.windows(s, S.BUDGETS.max_gap, "feedback"))
 
 
-@evidence(S.windows("feedback") + S.greedy(S.WINDOW_ITEMS, S.BUDGETS.window, 2, "windows_text"), recursive=True)
+@evidence(S.windows("feedback") + S.greedy(S.WINDOW_ITEMS, S.BUDGETS.window, 2, "windows_text"), recursive=True, product=lambda l, o: P.window_texts(l, o, S.BUDGETS, "feedback"))
 def budget_windows(s):
     return V.select_windows(V.windows(s, S.BUDGETS.max_gap, "feedback"), S.BUDGETS.window, s)
 
