@@ -199,7 +199,7 @@ def evidence(rest: str, recursive: bool = False, product: Callable[[DataFrame, D
     return add
 
 
-@evidence("SELECT session_id, objective_id, ord, round(ovl, 6) AS ovl FROM s")
+@evidence("SELECT session_id, objective_id, ord, round(ovl, 6) AS ovl FROM s", product=P.overlaps)
 def line_overlap_scores(s):
     return s.select(*KEYS, F.col("ord").cast("long").alias("ord"), "ovl")
 
