@@ -261,7 +261,7 @@ def response_texts(t):
 # ---- dense features --------------------------------------------------------------------------
 
 
-@evidence(S.DENSE_MATCH)
+@evidence(S.DENSE_MATCH, product=P.match_features, rounds=P.MEANS)
 def dense_match(s):
     return D.match_features(s)
 
