@@ -288,9 +288,9 @@ def dense_all(t):
     return D.dense_features(scored(t), lines(t), S.BUDGETS)
 
 
-@query(S.scored_all(S.dense_all(), recursive=True))
+@query(S.scored_all(S.dense_all(), recursive=True), rounds=P.MEANS)
 def dense_all_x_benchmark(t):
-    return D.dense_features(scored_all(t), lines(t), S.BUDGETS)
+    return P.dense_features(lines(t), items(t), S.BUDGETS)
 
 
 # ---- action graph ----------------------------------------------------------------------------
