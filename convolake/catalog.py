@@ -238,12 +238,12 @@ def _long_ends(w):
     return w.select(*KEYS, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "score", "text")
 
 
-@evidence(S.windows("qa") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win")
+@evidence(S.windows("qa") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win", product=lambda l, o: _long_ends(P.windows(l, o, S.BUDGETS.max_gap, "qa")))
 def qa_windows(s):
     return _long_ends(V.windows(s, S.BUDGETS.max_gap, "qa"))
 
 
-@evidence(S.windows("feedback") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win")
+@evidence(S.windows("feedback") + " SELECT session_id, objective_id, start, stop, round(score, 6) AS score, text FROM win", product=lambda l, o: _long_ends(P.windows(l, o, S.BUDGETS.max_gap, "feedback")))
 def feedback_windows(s):
     return _long_ends(V.windows(s, S.BUDGETS.max_gap, "feedback"))
 

@@ -12,7 +12,7 @@ from convolake.operators import products as P
 from convolake.operators import sessions as C
 
 B = Budgets(context=60, role=50, window=70, edges=40, top_k=4, radius=2, edge_lines=3, max_gap=3)
-QUERIES = ("anchor_topk", "budget_select_context", "budget_windows", "line_overlap_scores", "dense_match", "dense_all")
+QUERIES = ("anchor_topk", "budget_select_context", "budget_windows", "line_overlap_scores", "dense_match", "dense_all", "feedback_windows", "qa_windows")
 
 
 @pytest.fixture(scope="module")
