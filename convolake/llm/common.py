@@ -64,24 +64,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60, hint: str | None = None) -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 
     edges: columns a, b (long), in any direction. Returns node, component. Alternates large-star and
     small-star steps; each round is two group-by-minimum and join passes over the edge table, which
     is written to the shared folder, and shrinks the diameter of every component geometrically.
     Only two numbers per round reach the driver. A node with very many edges is a hot join key on one
-    side only, which AQE splits; its minimum is pre-aggregated before the shuffle.
+    side only, which AQE splits; its minimum is pre-aggregated before the shuffle. A hint of `merge` keeps Spark
+    from broadcasting minima.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     e = materialize(e, name)
+    hinted = lambda d: d.hint(hint) if hint else d
     before = None
     for _ in range(max_rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(m, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        large = both.where("v > u").join(hinted(m), "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
         m2 = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(m2, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("p")).select("p.*").where("lo < hi").distinct()
+        small = large.join(hinted(m2), "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("p")).select("p.*").where("lo < hi").distinct()
         before_e, e = e, materialize(small, name)
         release(before_e)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())

@@ -14,7 +14,8 @@ most sqrt(2 - 2 threshold) apart, so on the first principal axes they lie in the
 neighbouring cells of that width; every link is found, at the price of more candidates.
 
 Equal vectors are one node with a count, so a vector that is very common costs no pairs. What is
-broadcast is the rotation (64 x 64) and nothing that grows.
+broadcast is the rotation (64 x 64) and nothing that grows: joins are by sorting, as the size of a table's files says
+little of its size in the driver's memory, and no more than the sample reaches the driver.
 
 Defined results: a vector that is null, zero, of null or non-finite components, or of another length
 than most vectors, links with nothing and keeps itself; repeated rows are other vectors, linked; an empty table gives
@@ -65,6 +66,12 @@ def probes(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
+def hashed_first(v: DataFrame, total: int, n: int) -> DataFrame:
+    """Rows of v, of total rows, that hold the first n by the hash of the id and few more, so that no task sends n of its own."""
+    share = (n + 8 * n**0.5 + 64) / max(total, 1)
+    return v if share >= 1 else v.where(F.xxhash64("vec_id") <= F.lit(int(share * 2**64) - 2**63))
+
+
 def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int = 20_000, most_bits: int = 24, tables: int = 4, radius: int = 1, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): vec_id, rep, copies of each good row; and a, b, cosine of linked representatives, a < b.
 
@@ -75,12 +82,14 @@ def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = sizes[0][0] if sizes else 1
+    dim, total = sizes[0] if sizes else (1, 0)
     v = v.where(F.size("embedding") == dim)
     bits = min(64, dim)
-    first = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()["embedding"]
-    if len(first):
-        x = np.stack([np.asarray(e, float) for e in first])
+    first = hashed_first(v, total, sample_rows).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
+    if total and not first.num_rows:  # few ids, of many rows each
+        first = v.select("embedding").limit(sample_rows).toArrow()
+    if first.num_rows:
+        x = first["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         scale = np.abs(x).max(1, keepdims=True)
         x = x / scale
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -111,7 +120,7 @@ def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int
     rows = materialize(v.mapInArrow(coded, schema), "codes")
     groups = rows.groupBy("s1", "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("code").alias("code"), *[F.first(f"g{i}").alias(f"g{i}") for i in range(GRID_AXES)])
     groups = materialize(groups, "groups")
-    nodes = rows.select("vec_id", "s1", "s2").join(groups.select("s1", "s2", "rep", "copies"), ["s1", "s2"]).select("vec_id", "rep", "copies")
+    nodes = rows.select("vec_id", "s1", "s2").join(groups.select("s1", "s2", "rep", "copies").hint("merge"), ["s1", "s2"]).select("vec_id", "rep", "copies")
 
     tables = tables_for(bits, tables)
     own = lambda code, shift, width: F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
@@ -122,18 +131,18 @@ def near_links(vectors: DataFrame, *, threshold: float = 0.95, sample_rows: int
     earlier = F.lit(True)
     for t, part in enumerate(tables):  # an earlier table has found the pair already
         earlier = earlier & ((F.col("p.t") <= t) | (F.bit_count(own(differ, *part)) > radius))
-    pairs = probe.alias("p").join(index.alias("i"), (F.col("p.t") == F.col("i.t")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= most_bits) & earlier).select("a", "b")
+    pairs = probe.alias("p").join(index.alias("i").hint("merge"), (F.col("p.t") == F.col("i.t")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= most_bits) & earlier).select("a", "b")
 
     if exact:
         names = [f"g{i}" for i in range(GRID_AXES)]
         around = groups.select(F.col("rep").alias("a"), *names)
         for name in names:  # 3 ** GRID_AXES cells a vector
             around = around.withColumn(name, F.explode(F.array(*[F.col(name) + i for i in (-1, 0, 1)])))
-        pairs = around.join(groups.select(F.col("rep").alias("b"), *names), names).where("a < b").select("a", "b")
+        pairs = around.join(groups.select(F.col("rep").alias("b"), *names).hint("merge"), names).where("a < b").select("a", "b")
 
-    reps = rows.join(groups.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"]).select("vec_id", "unit")
+    reps = rows.join(groups.select(F.col("rep").alias("vec_id")).hint("merge"), "vec_id", "left_semi").dropDuplicates(["vec_id"]).select("vec_id", "unit")
     reps = materialize(reps, "units")
-    both = pairs.join(reps.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua")), "a").join(reps.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub")), "b")
+    both = pairs.join(reps.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua")).hint("merge"), "a").join(reps.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub")).hint("merge"), "b")
 
     def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,13 +160,13 @@ def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
     nodes, links = near_links(vectors, **options)
     reps = nodes.where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "copies")
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b"), F.col("a")))
-    many = ends.join(reps.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
-    comp = connected_components(links.select("a", "b"), "near")
-    per = reps.join(many, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    known = nodes.join(per, "rep").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    many = ends.join(reps.select(F.col("rep").alias("other"), "copies").hint("merge"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
+    comp = connected_components(links.select("a", "b"), "near", hint="merge")
+    per = reps.join(many.hint("merge"), "rep", "left").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    known = nodes.join(per.hint("merge"), "rep").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     out = vectors.select(F.col("vec_id"), F.size("embedding").alias("_size"), F.col("embedding").cast("array<double>").alias("_e"))
     good = F.coalesce(F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_e", lambda x: x != 0), F.lit(False))
-    out = out.select("vec_id", good.alias("_good")).join(known.withColumnRenamed("vec_id", "_id"), F.col("vec_id") == F.col("_id"), "left")
+    out = out.select("vec_id", good.alias("_good")).join(known.withColumnRenamed("vec_id", "_id").hint("merge"), F.col("vec_id") == F.col("_id"), "left")
     n = F.when(F.col("_good"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
     component = F.when(F.col("_good"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id")).cast("long")
     return out.select("vec_id", n.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from convolake.llm import embed_dedup, langid, quality_model
 
@@ -305,3 +306,19 @@ def test_near_dedup_with_clashing_columns_and_one_id_for_two_vectors(spark, vect
     assert len(got) == 5
     by = {r.vec_id: (r.n_links, r.component_id) for r in got}
     assert by[1] == (1, 1) and by[2][1] == 1 and by[3] == (0, 3) and by[None][1] is None
+
+
+def test_no_task_sends_a_sample_of_its_own(spark):
+    v = spark.range(-100, 60_000, numPartitions=9).select(F.col("id").alias("vec_id"))
+    near = embed_dedup.hashed_first(v, 60_100, 2000)
+    assert 2000 <= near.count() < 2600  # of 9 x 2000 that nine partitions would send
+    first = lambda d: [r.vec_id for r in d.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).collect()]
+    assert first(near) == first(v)
+    assert embed_dedup.hashed_first(v, 60_100, 60_000).count() == 60_100
+
+
+def test_joins_of_vectors_broadcast_nothing(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<float>")
+    assert "Broadcast" not in embed_dedup.near_duplicates(v)._jdf.queryExecution().executedPlan().toString()
+    few = v.withColumn("vec_id", F.col("vec_id") % 2)  # two ids of many rows
+    assert embed_dedup.near_duplicates(few, sample_rows=3).count() == 60
