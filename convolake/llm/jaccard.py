@@ -270,6 +270,7 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     reps = materialize(reps.where("rep is not null").join(sketches, ["rep", "s1", "s2"]), "reps")
     members = signs.join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     members = materialize(members, "members")
+    release(signs)
 
     copies = members.where("rep is not null and doc_id <> rep").select("doc_id").distinct()
     single = _only(docs.where("doc_id is not null"), copies, copies.count(), "left_anti")
@@ -320,6 +321,7 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     comp = connected_components(links.select("a", "b"), "first")
     labelled = shared.join(comp, shared["id"] == comp["node"], "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component"))
     labelled_all = materialize(labelled, "labelled")
+    release(shared)
     # a key's member is one row, so groups of two have been compared
     groups = labelled_all.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     several = materialize(groups.where("n > 2 and c0 <> c1").select("key"), "several")
@@ -329,7 +331,7 @@ def jaccard_links(docs: DataFrame, *, words: int = 3, percent: int = 90) -> tupl
     compared = (F.col("la") == F.col("b")) | (F.col("lb") == F.col("a"))
     across = x.join(y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~compared & alike)
     links = links.unionByName(verified(across.select("a", "b", "na", "nb").distinct(), "across"))
-    release(signs, reps, shared, labelled_all, several)
+    release(reps, labelled_all, several)
     return members, links
 
 

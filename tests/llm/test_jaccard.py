@@ -1,11 +1,13 @@
 import itertools
 import re
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from convolake.llm import jaccard
+from convolake.llm.common import shared_dir
 from convolake.llm.kernels import texts
 
 
@@ -147,3 +149,24 @@ def test_a_cluster_without_a_shared_folder_fails():
     spark.sparkContext.master = "yarn"
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_dir(spark)
+
+
+def test_tables_that_are_read_no_more_leave_the_disk(spark, monkeypatch):
+    there, made = {}, jaccard.materialize
+
+    def materialize(df, name):
+        out = made(df, name)
+        there[name] = {x.name.rsplit("-", 1)[0] for x in Path(out._table.removeprefix("file://")).parent.iterdir() if x.name not in start}
+        return out
+
+    start = {x.name for x in Path(jaccard_dir(spark)).iterdir()}
+    monkeypatch.setattr(jaccard, "materialize", materialize)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3) * 7 + k}" for k in range(40)) + f" x{i}") for i in range(120)], "doc_id long, text string")
+    _, links = jaccard.jaccard_links(docs)
+    assert links.count() >= 80
+    assert "signs" in there["members"] and "signs" not in there["shared"]
+    assert "shared" in there["labelled"] and "shared" not in there["several"]
+
+
+def jaccard_dir(spark):
+    return shared_dir(spark).removeprefix("file://")
